@@ -1,11 +1,12 @@
-"""The queries of this subpackage, their SQL where SQL can express them, and the whole pipeline."""
+"""The queries of this subpackage, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from . import dedup
+from . import dedup, secrets
 
 QUERIES = {
     "op5_exact_dedup": dedup.op5_exact_dedup,
+    "op10_secret_scans": secrets.op10_secret_scans,
 }
 ORACLES = {
     "op5_exact_dedup": dedup.ORACLE,
