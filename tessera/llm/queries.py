@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import dedup, packing, secrets, store
+from . import bpe, dedup, packing, secrets, store
 
 QUERIES = {
     "op5_exact_dedup": dedup.op5_exact_dedup,
     "op3_token_store": store.op3_token_store,
+    "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_secret_scans": secrets.op10_secret_scans,
 }

@@ -126,7 +126,7 @@ class WordEncoder:
         length = np.diff(np.append(at, len(points)))
         text_of = np.searchsorted(ends, at, "right")
         plain = ~odd[text_of] & (length <= LONG)
-        ids, count = self._gather(points, at[plain], length[plain])
+        ids, count = self.gather(points, at[plain], length[plain])
         rest = np.flatnonzero(~plain & ~odd[text_of])
         parts = np.zeros(len(at), np.int64)
         parts[plain] = count
@@ -158,7 +158,7 @@ class WordEncoder:
             full[place[k]:place[k] + len(x)] = x
         return full, out
 
-    def _gather(self, points: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def gather(self, points: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(at):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         key = self._hash(points, at, length)
