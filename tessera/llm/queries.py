@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, packing, secrets, store
+from . import bpe, dedup, langid, packing, secrets, store, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op5_exact_dedup": dedup.op5_exact_dedup,
     "op3_token_store": store.op3_token_store,
+    "op6_language_id": langid.op6_language_id,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_secret_scans": secrets.op10_secret_scans,
