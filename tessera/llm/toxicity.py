@@ -13,6 +13,7 @@ negatives that score high are added in rounds.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -26,7 +27,8 @@ from .common import documents, held_out, map_batches, parts
 #: Labelled rows of either class that the model is fitted on at most (those of lowest hash).
 TOXIC_ROWS, CLEAN_ROWS = 2_000, 6_000
 DECAY, SPAN, CODES = 0.6, 6, 64
-LANDMARKS, ROUNDS, PER_ROUND = 160, 4, 3_000
+LANDMARKS, ROUNDS, PER_ROUND = 160, 3, 3_000
+COST = 20.0
 #: A word stands for the positive class if chance explains its share of toxic texts with less than this probability.
 BY_CHANCE = 1e-5
 KNOWN = 700_000
@@ -151,6 +153,43 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
     return w
 
 
+def _cover(where: dict[str, list[int]], least: int = 2, times: int = 3) -> list[str]:
+    """Words that explain the toxic texts, each the word of most texts that fewer than ``times`` words before it explain.
+    Words of a toxic text that is there in many near copies explain nothing once its insults do."""
+    left = Counter({w: len(x) for w, x in where.items()})
+    words_of: dict[int, list[str]] = {}
+    for w, x in where.items():
+        for n in x:
+            words_of.setdefault(n, []).append(w)
+    out, explained = [], Counter()
+    while left:
+        w, n = max(left.items(), key=lambda x: (x[1], len(where[x[0]]), x[0]))
+        if n < least:
+            break
+        out.append(w)
+        left.pop(w)
+        for text in where[w]:
+            explained[text] += 1
+            if explained[text] == times:
+                left.subtract(x for x in words_of[text] if x in left)
+        left = +left
+    return out
+
+
+def _apart(texts: list[tuple[set[str], int]]) -> list[tuple[set[str], int]]:
+    """The texts (words, label) without near copies: of those that share half of their eight least word hashes, the first."""
+    out, seen = [], {}
+    for k, (own, y) in enumerate(texts):
+        least = sorted(zlib.crc32(w.encode()) for w in own)[:8]
+        common = Counter(n for h in least for n in seen.get(h, ()))
+        if common and max(common.values()) >= 4:
+            continue
+        for h in least:
+            seen.setdefault(h, []).append(k)
+        out.append((own, y))
+    return out
+
+
 def _log_tail(k: int, n: int, p: float) -> float:
     """A bound on the log of the chance of k or more of n at rate p (Chernoff)."""
     r = k / n
@@ -167,18 +206,19 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     nothing = Model(np.zeros(CODES ** 3, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     if not 0 < toxic < len(rows):
         return nothing
-    with_, all_ = Counter(), Counter()
-    for text, y in rows:
-        own = {f for w in set(text.lower().split()) for f in forms(w)}
+    with_, all_, where = Counter(), Counter(), {}
+    for n, (own, y) in enumerate(_apart([({f for w in set(t.lower().split()) for f in forms(w)}, y) for t, y in sorted(set(rows))])):
         all_.update(own)
         if y:
             with_.update(own)
+            for f in own:
+                where.setdefault(f, []).append(n)
     rate = toxic / len(rows)
-    positive = sorted((w for w, k in with_.items() if k >= 3 and k > 0.8 * all_[w] and _log_tail(k, all_[w], rate) < np.log(BY_CHANCE)), key=lambda w: (-with_[w], w))
+    candidates = sorted((w for w, k in with_.items() if k >= 3 and k > 0.9 * all_[w] and _log_tail(k, all_[w], rate) < np.log(BY_CHANCE)), key=lambda w: (-with_[w], w))
+    positive = _cover({w: where[w] for w in candidates})
     if not positive:
         return nothing
-    positive = positive[:4 * PER_ROUND]
-    taken = set(positive)
+    taken = set(candidates)
     clean = [w for w in sorted(all_, key=lambda w: (-all_[w], w)) if all_[w] > with_[w] and w not in taken]
     rng = np.random.default_rng(7)
     negative = clean[:PER_ROUND] + [clean[k] for k in rng.permutation(len(clean))[:PER_ROUND]]
@@ -207,12 +247,13 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         negative = list(dict.fromkeys(negative))
         x = features(positive + negative)
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        cost = np.where(y > 0, 10.0 * len(negative) / len(positive) / 10, 10.0 / 10) * 5
+        cost = np.where(y > 0, len(negative) / len(positive), 1.0) * COST
         w = _squared_hinge(x, y, cost)
         model = Model((root @ w[:-1] @ table).astype(np.float32), float(w[-1]), 0.0, 0.0)
         scores = np.concatenate([model.words(clean[a:a + 50_000]) for a in range(0, len(clean), 50_000)])
         hard = np.argsort(-scores)[:PER_ROUND]
         negative += [clean[k] for k in hard if scores[k] > -1]
+        positive += [w for w, x in zip(candidates, model.words(candidates), strict=True) if x > 0.5 and w not in positive]
     largest = np.concatenate([Scorer(model).largest([t for t, _ in rows[a:a + 500]]) for a in range(0, len(rows), 500)])
     y = np.array([y for _, y in rows], np.float64)
     model.slope, model.level = _platt(largest, y)
