@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, langid, packing, secrets, store, toxicity
+from . import bpe, dedup, langid, packing, secrets, spotsigs, store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op5_exact_dedup": dedup.op5_exact_dedup,
+    "op2_document_fingerprints": spotsigs.op2_document_fingerprints,
     "op3_token_store": store.op3_token_store,
     "op6_language_id": langid.op6_language_id,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
