@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, langid, packing, secrets, spotsigs, store, toxicity
+from . import bpe, dedup, jaccard, langid, packing, secrets, spotsigs, store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op5_exact_dedup": dedup.op5_exact_dedup,
     "op2_document_fingerprints": spotsigs.op2_document_fingerprints,
     "op3_token_store": store.op3_token_store,
