@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, with_block
+from .common import documents, kept, with_block
 
 #: Common words that anchor chains (English, German, French, Spanish).
 ANCHORS = (
@@ -59,15 +59,15 @@ def with_next(docs: DataFrame, *columns: str) -> DataFrame:
     heads = d.groupBy("__block").agg(F.min("doc_id").alias("__head"))
     order = Window.orderBy("__block")
     target = F.coalesce(F.lag("__block").over(order), F.max("__block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = heads.select(F.col("__block").alias("__own"), "__head", target.alias("__target"))
+    # written, so that its true size decides how it is joined
+    heads = kept(heads.select(F.col("__block").alias("__own"), "__head", target.alias("__target")), "heads")
     # one row hands on its block's beginning: copies of the id would do so as well, and sorting takes the first
     joined = d.join(heads, (F.col("__block") == F.col("__own")) & F.col("doc_id").eqNullSafe(F.col("__head")), "left")
     places = F.array_compact(F.array(F.struct(F.col("__block").alias("block"), F.lit(False).alias("extra")), F.when(F.col("__target").isNotNull(), F.struct(F.col("__target").alias("block"), F.lit(True).alias("extra")))))
-    rows = joined.withColumn("__place", F.explode(places))
-    w = Window.partitionBy("__place.block").orderBy(F.col("__place.extra"), F.col("doc_id").asc_nulls_first(), "text")
-    for c in ("text", *columns):
-        rows = rows.withColumn(f"next_{c}", F.lead(c).over(w))
-    return rows.filter(~F.col("__place.extra")).select("doc_id", "text", *columns, *[f"next_{c}" for c in ("text", *columns)])
+    rows = joined.withColumn("__place", F.explode(places)).select("doc_id", "text", *columns, F.col("__place.block").alias("__block"), F.col("__place.extra").alias("__extra"))
+    w = Window.partitionBy("__block").orderBy("__extra", F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in ("text", *columns)])
+    return rows.filter(~F.col("__extra")).drop("__block", "__extra")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
