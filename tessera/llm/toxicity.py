@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import documents, held_out, map_batches, parts
 
 #: Labelled rows of either class that the model is fitted on at most (those of lowest hash).
-TOXIC_ROWS, CLEAN_ROWS = 2_000, 6_000
+TOXIC_ROWS, CLEAN_ROWS = 1_500, 3_500
 DECAY, SPAN, CODES = 0.6, 6, 64
 LANDMARKS, ROUNDS, PER_ROUND = 160, 3, 3_000
 COST = 20.0
@@ -225,22 +225,23 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     half = LANDMARKS // 2
     landmarks = list(dict.fromkeys([*positive[:half], *(negative[k] for k in rng.permutation(len(negative))[:half])]))
     at, code, weight, norm = subsequences(landmarks)
-    table = np.zeros((len(landmarks), CODES ** 3), np.float32)
-    np.add.at(table, (at, code), weight / norm[at])
+    codes = np.unique(code)  # subsequences of landmarks; all others weigh nothing
+    table = np.zeros((len(landmarks), len(codes)), np.float32)
+    np.add.at(table, (at, np.searchsorted(codes, code)), weight / norm[at])
     values, vectors = np.linalg.eigh((table @ table.T).astype(np.float64))
     good = values > 1e-4 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])  # features of a word: root' times its kernel with the landmarks
 
     def features(words: list[str]) -> np.ndarray:
-        at, code, weight, norm = subsequences(words)
-        out = np.zeros((len(words), len(landmarks)))
-        for a in range(0, len(words), 2_000):
-            lo, hi = a, min(a + 2_000, len(words))
-            pick = (at >= lo) & (at < hi)
-            dense = table[:, code[pick]] * weight[pick]
-            for k in range(len(landmarks)):
-                out[lo:hi, k] = np.bincount(at[pick] - lo, dense[k], hi - lo)
-        return out / norm[:, None] @ root
+        out = np.zeros((len(words), root.shape[1]))
+        for a in range(0, len(words), 1_000):
+            at, code, weight, norm = subsequences(words[a:a + 1_000])
+            col = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            known = codes[col] == code
+            own = np.zeros((len(norm), len(codes)), np.float32)
+            np.add.at(own, (at[known], col[known]), weight[known])
+            out[a:a + 1_000] = (own @ table.T) / norm[:, None] @ root
+        return out
 
     model = nothing
     for _ in range(ROUNDS):
@@ -249,12 +250,15 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
         cost = np.where(y > 0, len(negative) / len(positive), 1.0) * COST
         w = _squared_hinge(x, y, cost)
-        model = Model((root @ w[:-1] @ table).astype(np.float32), float(w[-1]), 0.0, 0.0)
+        weights = np.zeros(CODES ** 3, np.float32)
+        weights[codes] = root @ w[:-1] @ table
+        model = Model(weights, float(w[-1]), 0.0, 0.0)
         scores = np.concatenate([model.words(clean[a:a + 50_000]) for a in range(0, len(clean), 50_000)])
         hard = np.argsort(-scores)[:PER_ROUND]
         negative += [clean[k] for k in hard if scores[k] > -1]
         positive += [w for w, x in zip(candidates, model.words(candidates), strict=True) if x > 0.5 and w not in positive]
-    largest = np.concatenate([Scorer(model).largest([t for t, _ in rows[a:a + 500]]) for a in range(0, len(rows), 500)])
+    scorer = Scorer(model)
+    largest = np.concatenate([scorer.largest([t for t, _ in rows[a:a + 500]]) for a in range(0, len(rows), 500)])
     y = np.array([y for _, y in rows], np.float64)
     model.slope, model.level = _platt(largest, y)
     return model
