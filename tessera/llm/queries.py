@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, jaccard, langid, packing, secrets, spotsigs, store, toxicity
+from . import bpe, dedup, jaccard, langid, packing, repeats, secrets, spotsigs, store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op3_token_store": store.op3_token_store,
     "op6_language_id": langid.op6_language_id,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
+    "op8_suffix_dedup": repeats.op8_suffix_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_secret_scans": secrets.op10_secret_scans,
 }
