@@ -78,7 +78,7 @@ class Frame:
 
     def estimated_bytes(self) -> int:
         """The optimizer's estimate of the plan's size."""
-        return int(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
     # columns
 

@@ -336,10 +336,11 @@ _STATS = {"sum": "sum", "mean": "avg", "std": "stddev_samp", "min": "min", "max"
 
 def _reduced(name: str, sql: str):
     def f(spark, d):
-        return rounded(getattr(table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax"), name)().df)
+        found = rounded(getattr(table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax"), name)().df)
+        return found.withColumn("value", F.when(F.col("value") == 0, 0.0).otherwise(F.col("value")))  # the data hold -0.0 as well
 
     each = [f"SELECT '{c}' AS \"column\", round(CAST({sql}({c}) AS DOUBLE), 4) AS value FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
-    return f, " UNION ALL ".join(each)
+    return f, f"SELECT \"column\", CASE WHEN value = 0 THEN 0.0 ELSE value END AS value FROM ({' UNION ALL '.join(each)})"
 
 
 for _name, _sql in _STATS.items():
