@@ -141,12 +141,13 @@ def _postings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), make, "token long, key long")
 
 
-def _candidates(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """token, key, n, pos, grp: the prefixes of all classes, as far as other classes have the same shingles. grp names the
-    classes with the same prefix and size.
+def _prefixes(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """key, n, grp, x, end: the prefix of each class as far as other classes have the same shingles: x has (token, pos) in
+    the global order, end the place of the last one in that order. grp names the classes with the same prefix and size.
 
     The global order: shingles below COUNTED that only one class has, those that more classes have by rising frequency, then
-    shingles from COUNTED on. A class's prefix is what of it comes first; shingles of one class find no partner.
+    shingles from COUNTED on. A class's prefix is what of it comes first; shingles of one class find no partner. pos never
+    is above the true place in that order (single shingles from COUNTED on are not counted), so filters by it lose nothing.
     """
     w = Window.partitionBy("token")
     shared = _postings(docs, k, num, den).withColumns({"df": F.count(F.lit(1)).over(w), "lo": F.min("key").over(w), "hi": F.max("key").over(w)}).filter("lo != hi")
@@ -156,9 +157,9 @@ def _candidates(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int)
     lists = lists.join(classes.select("key", "n", "counted").dropDuplicates(["key"]), "key")
     plen = f"(n - floor(({num} * n + {den - 1}) / {den}) + 1)"
     lists = lists.withColumn("single", F.expr("counted - size(filter(x, e -> NOT e.later))"))
-    lists = lists.withColumn("x", F.expr(f"filter(transform(x, (e, i) -> named_struct('token', e.token, 'pos', CASE WHEN e.later THEN {plen} - 1 ELSE single + i END)), e -> e.pos < {plen})")).filter("size(x) > 0")
-    grp = F.xxhash64("n", "x")
-    return lists.select("key", "n", grp.alias("grp"), F.explode("x").alias("e")).select("e.token", "e.pos", "key", "n", "grp")
+    lists = lists.withColumn("x", F.expr(f"filter(transform(x, (e, i) -> named_struct('place', e, 'token', e.token, 'pos', single + i)), e -> e.pos < {plen})")).filter("size(x) > 0")
+    end = F.element_at("x", -1)["place"]
+    return lists.select("key", "n", F.xxhash64("n", "x.token", "x.pos").alias("grp"), F.expr("transform(x, e -> named_struct('token', e.token, 'pos', e.pos))").alias("x"), end.alias("end"))
 
 
 def _as_bytes(tokens: np.ndarray) -> bytes:
@@ -229,13 +230,15 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _links(candidates: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _links(prefixes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) links between classes that together connect every class to all it links with, directly or over others.
 
     Classes in one list (one shingle) are first compared with a leader of their size band, then what is not connected yet is
-    compared in pairs of groups that pass the filters of size and position. Pairs that are connected already are no news.
+    compared in pairs of groups. A pair of groups is taken at its first common shingle only. It passes if the sizes allow it
+    and if enough of the prefixes is common: up to the earlier of both prefixes' ends it is known which shingles are, and
+    what one group has there and the other lacks is lost to both. Pairs that are connected already are no news.
     """
-    spark = candidates.sparkSession
+    candidates = prefixes.select("key", "n", "grp", F.explode("x").alias("e")).select("e.token", "e.pos", "key", "n", "grp")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
     lists = kept(candidates.withColumn("band", band), "candidates")
     links, label = None, None
@@ -255,19 +258,25 @@ def _links(candidates: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token")
     now = kept(now.join(mixed, "token"), "mixed")
     groups = now.select("token", "pos", "n", "grp", "component").distinct()
-    left, right = (groups.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("pos", "n", "grp", "component")]) for s in "ab")
+    arrays = prefixes.select("grp", F.col("x.token").alias("tokens"), "end", (F.element_at("x", -1)["pos"] + 1).alias("depth")).dropDuplicates(["grp"])
+    groups = kept(groups.join(arrays, "grp"), "groups")
+    left, right = (groups.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("pos", "n", "grp", "component", "tokens", "end", "depth")]) for s in "ab")
     least = F.ceil((F.col("n_a") + F.col("n_b")) * num / (num + den) - 1e-9)
+    common = F.array_intersect("tokens_a", "tokens_b")
+    most = F.size(common) + F.when(F.col("end_a") <= F.col("end_b"), F.col("n_a") - F.col("depth_a")).otherwise(F.col("n_b") - F.col("depth_b"))
     passed = left.join(right, "token").filter(
         (F.col("component_a") < F.col("component_b"))
         & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-        & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) + F.least("pos_a", "pos_b") >= least)
-    ).select("grp_a", "component_a", "grp_b", "component_b").distinct()
+        & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= least)
+        & (common[0] == F.col("token"))
+        & (most >= least)
+    ).select("grp_a", "component_a", "grp_b", "component_b")
     members = now.select("grp", "component", "key").distinct()
     expanded = passed.join(members.select(F.col("grp").alias("grp_a"), F.col("component").alias("component_a"), F.col("key").alias("x")), ["grp_a", "component_a"]).join(
         members.select(F.col("grp").alias("grp_b"), F.col("component").alias("component_b"), F.col("key").alias("y")), ["grp_b", "component_b"]
     )
     rest = _verified(expanded.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets, num, den)
-    return links.unionByName(rest) if spark else links
+    return links.unionByName(rest)
 
 
 def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
@@ -284,10 +293,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     classes = kept(_classes(docs, k), "classes")
     sized = classes.filter("n > 0")
     firsts = sized.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    candidates = kept(_candidates(docs, sized, k, num, den), "prefixes")
-    wanted = firsts.join(candidates.select("key").distinct(), "key", "left_semi")
-    sets = kept(_sets(docs, wanted, k), "sets")
-    label = kept(components(_links(candidates, sets, num, den)), "labels")
+    prefixes = kept(_prefixes(docs, sized, k, num, den), "prefixes")
+    sets = kept(_sets(docs, firsts.join(prefixes, "key", "left_semi"), k), "sets")
+    label = kept(components(_links(prefixes, sets, num, den)), "labels")
     named = firsts.join(label, firsts["key"] == label["node"], "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
     named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("key", "component_id")
     linked = sized.join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
