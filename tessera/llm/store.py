@@ -136,12 +136,16 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     # equal keys meet; recipes are spread by their own digest with the doc_id, or copies of a text would meet in one task
     spread = F.when(F.col("kind") == "chunks", F.xxhash64("key")).otherwise(F.xxhash64("doc_id"))
     _once(_encode(docs, tokenizer, end_id).repartition(spread)).write.partitionBy("kind").option("compression", "none").parquet(f"{path}/data")
-    recipes = spark.read.parquet(f"{path}/data/kind=recipes").select("doc_id", "n_tokens", F.col("data").alias("keys"))
+    recipes = _stored(spark, path, "recipes").select("doc_id", "n_tokens", F.col("data").alias("keys"))
     started = running_start(recipes, "n_tokens", "start", "keys")
     started.select("doc_id", "start", "n_tokens", "keys").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "start").write.parquet(f"{path}/recipes")
     manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
 
+def _stored(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(_ROWS).parquet(f"{path}/data").filter(F.col("kind") == kind)
+
+
 def manifest(recipes: DataFrame) -> DataFrame:
     """block, leaves, root: one row for each BLOCK ids. A root is taken over its leaves in order of start."""
     leaf = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "n_tokens", F.hex("keys")), 256)
@@ -185,7 +189,7 @@ def read_chunks(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
         return one
 
-    files = spark.read.parquet(f"{path}/data/kind=chunks").select("key", "data")
+    files = _stored(spark, path, "chunks").select("key", "data")
     return map_batches(files, make, "key binary, n long, crc long" + (", ids binary" if with_ids else ""))
 
 
