@@ -17,5 +17,6 @@ QUERIES = {
     "op10_secret_scans": secrets.op10_secret_scans,
 }
 ORACLES = {
+    "op4_ngram_jaccard": jaccard.ORACLE,
     "op5_exact_dedup": dedup.ORACLE,
 }
