@@ -90,7 +90,7 @@ def runs_of(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _raw(batch: pa.RecordBatch, text: int):
     values = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(text).to_pylist()]
-    for part in parts(values, 6_000_000):
+    for part in parts(values, 2_000_000):
         some = values[part]
         big = [k for k, v in enumerate(some) if len(v) >= 1 << 23]
         for k in big:  # one text beyond the places of an anchor is taken in overlapping pieces
