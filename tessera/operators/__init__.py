@@ -2,6 +2,7 @@
 
 from .frame import Frame, concat
 from .groupby import GroupBy
+from .index import Index
 from .series import Series
 
-__all__ = ["Frame", "GroupBy", "Series", "concat"]
+__all__ = ["Frame", "GroupBy", "Index", "Series", "concat"]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.errors import ColumnNotFound, IndexOutOfRange, KeyColumnNotFound, LengthMismatch, TypeMismatch
-from tessera.operators import ordered, stats
+from tessera.operators import Index, ordered, stats
 from tessera.operators.frame import Frame, concat
 from tessera.plans.predicate import col
 
@@ -192,3 +192,14 @@ def test_filters_reach_the_scan(spark, tmp_path):
     for p, text in ((col("x") > 5, "GreaterThan(x,5)"), (~(col("x") > 5), "LessThanOrEqual(x,5)")):
         plan = f.filter(p).select("x").df._jdf.queryExecution().executedPlan().toString()
         assert text in plan and "ReadSchema: struct<x:bigint>" in plan
+
+
+def test_indexes(spark):
+    r = Index.range(spark, 10, 0, -3)
+    assert r.values == [10, 7, 4, 1] and r.count == 4 and r.get_location(4) == 2 and r.get_location(5) is None and r[3] == 1 and r.is_unique
+    s = Index.of(spark, ["a", "b", "a"])
+    assert s.get_location("a") == 0 and s.contains("b") and not s.contains("c") and not s.is_unique and Index.of(spark, [3, 1]).values == [3, 1]
+    with pytest.raises(IndexOutOfRange):
+        r[4]
+    with pytest.raises(TypeMismatch):
+        Index.range(spark, 0, 5, 0)
