@@ -161,10 +161,13 @@ class Series:
         return self._reduced(lambda c: stats.variance(c, ddof))
 
     def median(self) -> float | None:
-        return self._reduced(stats.REDUCTIONS["median"])
+        return self.quantile(0.5)
 
     def quantile(self, q: float) -> float | None:
-        return self._reduced(lambda c: stats.quantile(c, q))
+        """Exact, interpolated; found by rank, so no task holds all values."""
+        if not is_numeric(self.kind):
+            raise TypeMismatch("quantiles are of numbers")
+        return stats.quantiles_by_rank(self.df, "value", [q])[0]
 
     def count(self) -> int:
         return self.df.agg(F.count("value")).first()[0]

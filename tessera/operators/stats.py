@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,28 @@ def quantile(c: Column, q: float) -> Column:
     return F.percentile(plain_double(c), q)
 
 
+def quantiles_by_rank(df: DataFrame, column: str, qs: list[float], buckets: int | None = None) -> list[float | None]:
+    """Exact quantiles of one column without holding its values in one task: values are ranked inside ranges (see
+    ``ordered``), and each quantile is put together from its one or two neighbours. For columns of any size."""
+    from . import ordered
+
+    need(df.columns, column)
+    x = plain_double(F.col(f"`{column}`"))
+    known = df.select(x.alias("x")).filter(F.col("x").isNotNull())
+    n = known.count()
+    if not n:
+        return [None] * len(qs)
+    places = sorted({k for q in qs for k in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))})
+    ranked = ordered.with_position(known, ["x"], "r", **({} if buckets is None else {"buckets": buckets}))
+    at = {r["r"]: r["x"] for r in ranked.filter(F.col("r").isin(places)).collect()}
+    out = []
+    for q in qs:
+        place = q * (n - 1)
+        a, b = at[math.floor(place)], at[math.ceil(place)]
+        out.append(a if a == b else a + (b - a) * (place - math.floor(place)))
+    return out
+
+
 REDUCTIONS: dict[str, Callable[[Column], Column]] = {
     "sum": lambda c: F.sum(plain_double(c)), "mean": lambda c: F.avg(plain_double(c)), "min": lambda c: F.min(plain_double(c)), "max": lambda c: F.max(plain_double(c)),
     "std": std, "median": lambda c: quantile(c, 0.5), "count": lambda c: F.count(c).cast("double"), "nunique": lambda c: F.count_distinct(c).cast("double"),

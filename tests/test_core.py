@@ -203,3 +203,10 @@ def test_indexes(spark):
         r[4]
     with pytest.raises(TypeMismatch):
         Index.range(spark, 0, 5, 0)
+
+
+def test_quantiles_by_rank(spark):
+    d = spark.range(997).select((F.col("id") * 31 % 997).cast("double").alias("x")).repartition(5)
+    for buckets in (1, 16):
+        assert stats.quantiles_by_rank(d, "x", [0.0, 0.25, 0.5, 0.999, 1.0], buckets) == pytest.approx([0.0, 249.0, 498.0, 995.004, 996.0])
+    assert stats.quantiles_by_rank(d.filter("x < 0"), "x", [0.5]) == [None]
