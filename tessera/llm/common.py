@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,6 +46,18 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that tasks can import it there."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        top = Path(__file__).resolve().parents[1]
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{top.name}", "zip", top.parent, top.name))
+        _SHIPPED.add(app)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with set-up once per task. ``make`` returns the function of a batch."""
 
@@ -57,6 +71,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                 else:
                     yield from out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

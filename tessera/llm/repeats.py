@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, kept, map_batches, parts
+from .common import documents, kept, map_batches, parts, ship
 
 LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM + 1
@@ -242,6 +242,7 @@ def _merged(contexts: DataFrame) -> DataFrame:
         if held:
             yield settle()
 
+    ship(contexts.sparkSession)
     return contexts.select("anchor", "context", "n", "content").mapInArrow(run, _SETTLED)
 
 
