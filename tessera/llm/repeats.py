@@ -14,7 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, kept, map_batches, parts, ship
@@ -306,9 +306,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Null text is empty. Texts shorter than LENGTH lose nothing. Rows count as documents each, with equal ids or texts too.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    w = Window.partitionBy("anchor")
-    runs = _runs(d).withColumns({"times": F.count(F.lit(1)).over(w), "lo": F.min("context").over(w), "hi": F.max("context").over(w)})
-    shared = kept(runs.filter("times > 1").select("anchor", "context", "rid", "start", "n", (F.col("lo") != F.col("hi")).alias("mixed")), "shared")
+    runs = kept(_runs(d), "runs")
+    # counted before rows move, then joined: an anchor that most runs have is split like any skewed join
+    twice = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), (F.min("context") != F.max("context")).alias("mixed")).filter("times > 1")
+    shared = kept(runs.join(twice.select("anchor", "mixed"), "anchor").select("anchor", "context", "rid", "start", "n", "mixed"), "shared")
     of = shared.filter("mixed").groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rid", "start", "n")).alias("at"))
     group = of.groupBy("anchor").agg(F.count(F.lit(1)).alias("together"))
     of = of.join(group, "anchor").select("anchor", "context", "times", "together", "at.rid", "at.start", "at.n")
