@@ -13,8 +13,11 @@ ASSIGN_KEPT = ASSIGN.replace("=-]+)", "=-]{12,})")
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # a run that is too short has no longer match inside it
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
-#: Candidates of the battery: runs of characters that encodings of bytes use.
+#: Texts without this have no candidate of the battery.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Candidates: runs in either pair of signs, and in none, each with its padding. A run is thus tried whole and in its parts.
+RUNS = (r"[A-Za-z0-9+/]{16,}=*", r"[A-Za-z0-9_-]{16,}=*", r"[A-Za-z0-9]{16,}=*")
+CANDIDATE_LENGTH = 20
 #: Alphabets by encoding, in the order of their values.
 ALPHABETS = {
     "hex": ("0123456789abcdef", "^[0-9a-f]+$"),
@@ -86,22 +89,27 @@ def battery(hit: str) -> str:
 def scan(docs: DataFrame, *carry: str) -> DataFrame:
     """doc_id, text, ``carry``, base and spans: arrays of (start, kind, end), kind a place in KINDS, sorted.
 
-    base: matches of the fixed patterns. spans: those, and what the battery adds: candidates that lie clear of base spans,
+    base: matches of the fixed patterns. spans: those, and what the battery adds: candidates (RUNS; '=' is part of one only
+    at its end) that lie clear of base spans, in no other candidate found,
     pass the battery (statistic within BATTERY_LIMIT) and are discoveries of the Benjamini-Hochberg rule at rate
     FALSE_DISCOVERIES among the text's candidates, by p. Null text counts as empty, which has no span; every row of a
     repeated doc_id is scanned on its own.
     """
     d = texts(docs, *carry)
-    d = d.withColumns({"__a": located("text", ASSIGN, ASSIGN_KEPT), "__k": located("text", ACCESS), "__h": located("text", HEX), "__c": located("text", CANDIDATE)})
+    d = d.withColumns({"__a": located("text", ASSIGN, ASSIGN_KEPT), "__k": located("text", ACCESS), "__h": located("text", HEX)})
+    d = d.withColumns({f"__c{i}": located("text", run, CANDIDATE) for i, run in enumerate(RUNS)})
     group2 = "r'" + ASSIGN.replace("'", "\\x27") + "'"
     kind = lambda name, column, test="true": f"transform(filter({column}, x -> {test}), x -> named_struct('start', x.start, 'kind', {KINDS.index(name)}, 'end', x.end))"
     d = d.withColumn("base", F.expr(f"array_sort(concat({kind('assign', '__a', f'length(regexp_extract(x.hit, {group2}, 2)) >= 12')}, {kind('access', '__k')}, {kind('hex', '__h')}))"))
     clear = "NOT exists(base, b -> b.start < x.end AND x.start < b.end)"
-    d = d.withColumn("__t", F.expr(f"transform(filter(__c, x -> {clear}), x -> named_struct('p', ({battery('x.hit')}).p, 's', ({battery('x.hit')}).statistic, 'start', x.start, 'end', x.end))"))
+    d = d.withColumn("__c", F.expr(f"array_distinct(concat({', '.join(f'__c{i}' for i in range(len(RUNS)))}))"))
+    d = d.withColumn("__t", F.expr(f"transform(filter(__c, x -> length(x.hit) >= {CANDIDATE_LENGTH} AND {clear}), x -> named_struct('p', ({battery('x.hit')}).p, 's', ({battery('x.hit')}).statistic, 'start', x.start, 'end', x.end))"))
     # Benjamini-Hochberg: the largest rank whose p lies under its line
     d = d.withColumn("__t", F.expr("array_sort(__t)"))
     d = d.withColumn("__m", F.expr(f"coalesce(array_max(filter(sequence(0, size(__t)), i -> i > 0 AND __t[i - 1].p <= {FALSE_DISCOVERIES} * i / size(__t))), 0)"))
-    added = f"transform(filter(slice(__t, 1, __m), x -> x.s <= {BATTERY_LIMIT}), x -> named_struct('start', x.start, 'kind', {KINDS.index('random')}, 'end', x.end))"
+    d = d.withColumn("__f", F.expr(f"filter(slice(__t, 1, __m), x -> x.s <= {BATTERY_LIMIT})"))
+    outer = "filter(__f, x -> NOT exists(__f, y -> y.start <= x.start AND y.end >= x.end AND y.end - y.start > x.end - x.start))"
+    added = f"transform({outer}, x -> named_struct('start', x.start, 'kind', {KINDS.index('random')}, 'end', x.end))"
     d = d.withColumn("spans", F.expr(f"CASE WHEN size(__t) = 0 THEN base ELSE array_sort(concat(base, {added})) END"))
     return d.select("doc_id", "text", *carry, "base", "spans")
 

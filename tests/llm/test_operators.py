@@ -341,6 +341,19 @@ def test_battery(spark):
     assert all(got[k]["m"] == "see [SECRET] there" for k in range(60) if got[k]["s"])
 
 
+def test_secrets_beside_signs(spark):
+    rng = random.Random(8)
+    tokens = ["".join(rng.choice(secrets.ALPHABETS["base64"][0][:62]) for _ in range(40)) for _ in range(20)]
+    before = ("AWS_SECRET_ACCESS_KEY=", "client_id=", "https://h.example/x?sig=", "path_a/b/", "A=1&long_name_of_a_thing==")
+    rows = [(20 * i + k, f"see {b}{t} there") for i, b in enumerate(before) for k, t in enumerate(tokens)]
+    got = {r["doc_id"]: r["m"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", secrets.masked().alias("m")).collect()}
+    for i in range(len(before)):
+        assert sum(tokens[k] not in got[20 * i + k] for k in range(20)) >= 18
+    padded = tokens[0][:38] + "=="
+    at = secrets.scan(spark.createDataFrame([(1, f"k={padded}")], "doc_id long, text string")).select(secrets.written("spans").alias("s")).collect()
+    assert at[0]["s"] == "random:2:42"
+
+
 # language and toxicity
 
 
