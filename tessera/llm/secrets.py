@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,18 +20,27 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Candidates: runs in either pair of signs, and in none, each with its padding. A run is thus tried whole and in its parts.
 RUNS = (r"[A-Za-z0-9+/]{16,}=*", r"[A-Za-z0-9_-]{16,}=*", r"[A-Za-z0-9]{16,}=*")
 CANDIDATE_LENGTH = 20
-#: Alphabets by encoding, in the order of their values.
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Alphabets by encoding, in the order of their values; narrowest first, and the first that holds a run counts.
 ALPHABETS = {
-    "hex": ("0123456789abcdef", "^[0-9a-f]+$"),
-    "hex_upper": ("0123456789ABCDEF", "^[0-9A-F]+$"),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "^[A-Z2-7]+$"),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "^[A-Za-z0-9+/]+$"),
-    "base64_url": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "^[A-Za-z0-9_-]+$"),
+    "hex": (_DIGITS + "abcdef", "^[0-9a-f]+$"),
+    "hex_upper": (_DIGITS + "ABCDEF", "^[0-9A-F]+$"),
+    "base32": (_UPPER + "234567", "^[A-Z2-7]+$"),
+    "base32_lower": (_LOWER + "234567", "^[a-z2-7]+$"),
+    "base36": (_DIGITS + _LOWER, "^[0-9a-z]+$"),
+    "base36_upper": (_DIGITS + _UPPER, "^[0-9A-Z]+$"),
+    "base62": (_UPPER + _LOWER + _DIGITS, "^[A-Za-z0-9]+$"),
+    "base64": (_UPPER + _LOWER + _DIGITS + "+/", "^[A-Za-z0-9+/]+$"),
+    "base64_url": (_UPPER + _LOWER + _DIGITS + "-_", "^[A-Za-z0-9_-]+$"),
 }
 #: Upper 0.5 % point of the chi-squared distribution with three degrees of freedom.
 BATTERY_LIMIT = 12.84
 #: Share of capitals, digits and signs inside ordinary words, generously.
 PLAIN_RATE = 0.08
+#: Shares of a to z inside ordinary words in per mille, rare ones generously.
+PLAIN_LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 10, 10, 40, 24, 67, 75, 19, 10, 60, 63, 91, 28, 10, 24, 10, 20, 10)
+#: Share of ordinary words of a candidate's length that are in capitals throughout.
+PLAIN_CAPITALS = 0.001
 FALSE_DISCOVERIES = 0.01
 
 _SPANS = "array<struct<start:bigint,end:bigint,hit:string>>"
@@ -57,8 +68,11 @@ def battery(hit: str) -> str:
 
     statistic: the sum of squared normal scores of three tests of randomness over the values of the inferred encoding:
     chi-squared uniformity over four equal parts of the alphabet (its upper tail), runs above and below the alphabet's
-    middle, lag-one serial correlation. p: a bound on the chance that an ordinary word of this length shows so many
-    capitals, digits and signs (Chernoff), which falls with length. Padding at the end is no part of the values.
+    middle, lag-one serial correlation. p: a bound on the chance that an ordinary word is as likely to be random values of
+    that encoding (Markov's, over the ratio of both likelihoods, the first character left out), which falls with length,
+    divided by the chance that random values show such a statistic; 1 beyond BATTERY_LIMIT. Ordinary words are letters by
+    PLAIN_LETTERS (a PLAIN_CAPITALS of them in capitals throughout), else capitals, digits and signs at PLAIN_RATE. Neither
+    step makes p smaller than the bound, so it holds as a p-value. Padding at the end is no part of the values.
     """
     body = f"rtrim('=', {hit})"
     which = "CASE " + " ".join(f"WHEN rlike({body}, '{test}') THEN '{name}'" for name, (_, test) in ALPHABETS.items()) + " ELSE 'none' END"
@@ -74,12 +88,19 @@ def battery(hit: str) -> str:
     runs_z = let(f"{high} * 1.0D", "h", f"CASE WHEN h = 0 OR h = n THEN 9.0D ELSE ({runs} - (1 + 2 * h * (n - h) / n)) / sqrt(2 * h * (n - h) * (2 * h * (n - h) - n) / (n * n * (n - 1.0D))) END")
     centred = "(v[{}] - (k - 1) / 2.0D)"
     serial_z = "aggregate(sequence(2, n), 0.0D, (a, i) -> a + " + centred.format("i - 1") + " * " + centred.format("i - 2") + ") / ((k * k - 1) / 12.0D) / sqrt(n - 1.0D)"
-    odd = f"length(regexp_replace(substring({body}, 2), '[a-z]', ''))"
-    p = let(
-        f"least({odd} / (n - 1.0D), 0.999D)", "r",
-        f"CASE WHEN r <= {PLAIN_RATE} THEN 1.0D ELSE exp(-(n - 1) * (r * ln(r / {PLAIN_RATE}) + (1 - r) * ln((1 - r) / {1 - PLAIN_RATE}))) END",
-    )
-    made = f"named_struct('encoding', e, 'n', n, 'statistic', pow({chi_z}, 2) + pow({runs_z}, 2) + pow({serial_z}, 2), 'p', {p})"
+    total = sum(PLAIN_LETTERS)
+    letter = "array(" + ", ".join(f"{log(c / total):.6f}D" for c in PLAIN_LETTERS) + ")"
+    # both: small letters and capitals. What counts as odd of the alphabet: all but small letters then, else all but letters
+    word = f"CASE WHEN rlike({body}, '[a-z]') THEN {body} ELSE lower({body}) END"
+    both = f"rlike({body}, '[a-z]') AND rlike({body}, '[A-Z]')"
+    odds = f"CASE WHEN {both} THEN k - 26.0D WHEN e LIKE 'hex%' OR e LIKE 'base36%' THEN 10.0D WHEN e LIKE 'base32%' THEN 6.0D ELSE k - 52.0D END"
+    ratio = let(
+        word, "w", let(odds, "o", f"aggregate(sequence(2, n), CASE WHEN w = {body} THEN 0.0D ELSE {-log(PLAIN_CAPITALS):.6f}D END, (a, i) -> a - ln(k) - CASE WHEN substring(w, i, 1) BETWEEN 'a' AND 'z' "
+        f"THEN {log(1 - PLAIN_RATE):.6f}D + {letter}[ascii(substring(w, i, 1)) - 97] ELSE {log(PLAIN_RATE):.6f}D - ln(o) END)"))
+    # upper tail of the chi-squared distribution with three degrees of freedom; erfc by Abramowitz and Stegun 7.1.26
+    tail = let("1 / (1 + 0.3275911D * sqrt(s / 2))", "t", "exp(-s / 2) * (t * (0.254829592D + t * (-0.284496736D + t * (1.421413741D + t * (-1.453152027D + t * 1.061405429D)))) + sqrt(2 * s / pi()))")
+    p = f"CASE WHEN s > {BATTERY_LIMIT} THEN 1.0D ELSE least(1.0D, exp(least(0.0D, -({ratio}))) / {tail}) END"
+    made = let(f"pow({chi_z}, 2) + pow({runs_z}, 2) + pow({serial_z}, 2)", "s", f"named_struct('encoding', e, 'n', n, 'statistic', s, 'p', {p})")
     none = "named_struct('encoding', 'none', 'n', 0, 'statistic', 1e9D, 'p', 1.0D)"
     values = f"transform(sequence(1, length({body})), i -> instr({alphabet}, substring({body}, i, 1)) - 1)"
     with_values = let(f"named_struct('v', {values}, 'k', length({alphabet}))", "z", let("z.v", "v", let("z.k", "k", let("size(v)", "n", made))))
@@ -90,9 +111,8 @@ def scan(docs: DataFrame, *carry: str) -> DataFrame:
     """doc_id, text, ``carry``, base and spans: arrays of (start, kind, end), kind a place in KINDS, sorted.
 
     base: matches of the fixed patterns. spans: those, and what the battery adds: candidates (RUNS; '=' is part of one only
-    at its end) that lie clear of base spans, in no other candidate found,
-    pass the battery (statistic within BATTERY_LIMIT) and are discoveries of the Benjamini-Hochberg rule at rate
-    FALSE_DISCOVERIES among the text's candidates, by p. Null text counts as empty, which has no span; every row of a
+    at its end) that lie clear of base spans, in no other candidate found, and are discoveries of the Benjamini-Hochberg rule
+    at rate FALSE_DISCOVERIES among the text's candidates, by the battery's p. Null text counts as empty, which has no span; every row of a
     repeated doc_id is scanned on its own.
     """
     d = texts(docs, *carry)
@@ -103,11 +123,11 @@ def scan(docs: DataFrame, *carry: str) -> DataFrame:
     d = d.withColumn("base", F.expr(f"array_sort(concat({kind('assign', '__a', f'length(regexp_extract(x.hit, {group2}, 2)) >= 12')}, {kind('access', '__k')}, {kind('hex', '__h')}))"))
     clear = "NOT exists(base, b -> b.start < x.end AND x.start < b.end)"
     d = d.withColumn("__c", F.expr(f"array_distinct(concat({', '.join(f'__c{i}' for i in range(len(RUNS)))}))"))
-    d = d.withColumn("__t", F.expr(f"transform(filter(__c, x -> length(x.hit) >= {CANDIDATE_LENGTH} AND {clear}), x -> named_struct('p', ({battery('x.hit')}).p, 's', ({battery('x.hit')}).statistic, 'start', x.start, 'end', x.end))"))
+    d = d.withColumn("__t", F.expr(f"transform(filter(__c, x -> length(x.hit) >= {CANDIDATE_LENGTH} AND {clear}), x -> named_struct('p', ({battery('x.hit')}).p, 'start', x.start, 'end', x.end))"))
     # Benjamini-Hochberg: the largest rank whose p lies under its line
     d = d.withColumn("__t", F.expr("array_sort(__t)"))
     d = d.withColumn("__m", F.expr(f"coalesce(array_max(filter(sequence(0, size(__t)), i -> i > 0 AND __t[i - 1].p <= {FALSE_DISCOVERIES} * i / size(__t))), 0)"))
-    d = d.withColumn("__f", F.expr(f"filter(slice(__t, 1, __m), x -> x.s <= {BATTERY_LIMIT})"))
+    d = d.withColumn("__f", F.expr("slice(__t, 1, __m)"))
     outer = "filter(__f, x -> NOT exists(__f, y -> y.start <= x.start AND y.end >= x.end AND y.end - y.start > x.end - x.start))"
     added = f"transform({outer}, x -> named_struct('start', x.start, 'kind', {KINDS.index('random')}, 'end', x.end))"
     d = d.withColumn("spans", F.expr(f"CASE WHEN size(__t) = 0 THEN base ELSE array_sort(concat(base, {added})) END"))

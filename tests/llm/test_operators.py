@@ -354,6 +354,23 @@ def test_secrets_beside_signs(spark):
     assert at[0]["s"] == "random:2:42"
 
 
+def test_battery_alphabets(spark):
+    rng = random.Random(9)
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    cases = [(small + digits, 40), (small + digits, 64), (small.upper() + digits, 40), (small.upper() + digits, 64), (small + "234567", 52), (small.upper() + "234567", 52), (small + small.upper() + digits, 32)]
+    rows = [(50 * i + k, "".join(rng.choice(letters) for _ in range(n))) for i, (letters, n) in enumerate(cases) for k in range(50)]
+    plain = ["INTERNATIONALIZATIONFRAMEWORK", "my-blog-post-2024-about-a-title-of-words", "internationalization2frameworks", "MAXIMUM_NUMBER_OF_CONNECTIONS_ALLOWED", "thequickbrownfoxjumpsoverthelazydog"]
+    rows += [(1000 + k, t) for k, t in enumerate(plain)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in secrets.scan(d).select("doc_id", secrets.written("spans").alias("s")).collect()}
+    for i in range(len(cases)):
+        assert sum("random" in got[50 * i + k] or "hex" in got[50 * i + k] for k in range(50)) >= 42
+    assert not any(got[1000 + k] for k in range(len(plain)))
+    # the statistic is part of what the rule ranks
+    p = d.select(F.expr(secrets.battery("text")).alias("b")).select("b.*").collect()
+    assert all(r["p"] == 1 for r in p if r["statistic"] > secrets.BATTERY_LIMIT) and any(r["statistic"] > secrets.BATTERY_LIMIT for r in p)
+
+
 # language and toxicity
 
 
