@@ -6,7 +6,7 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, kept
@@ -28,17 +28,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
 
 
+def identity(text_sha256: str | Column) -> Column:
+    """Names a row by its doc_id, null or not, and its text."""
+    return F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_sha256), 256)
+
+
+def own_identity() -> Column:
+    return identity(F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def only(docs: DataFrame, stays: DataFrame) -> DataFrame:
+    """One row of docs for each ``row`` of stays. Repeats of a row are folded before they move, so they do not crowd a task;
+    of repeats the one with the largest lang, source and n_chars stays (nulls last, a text before a null)."""
+    one = docs.groupBy(own_identity().alias("row")).agg(F.max(F.struct("doc_id", "text", "lang", "source", "n_chars")).alias("r"))
+    return one.join(stays.select("row"), "row", "left_semi").select(*[F.col(f"r.{c}") for c in COLUMNS])
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
-    stays = exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").select(*COLUMNS)
+    """Of equal texts, a null one counting as empty, exactly one row stays: one with the largest doc_id, null being the
+    smallest. So a row with a repeated or null doc_id stays or goes by its own text."""
+    return only(docs, exact_dedup(docs).filter("kept").select(identity("text_sha256").alias("row")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles with a Jaccard likeness of 0.8 or more, directly or over others, the one
-    with the smallest doc_id stays. Documents with fewer words, or with none, stay unless linked."""
-    stays = jaccard_components(docs, 5, 80, 100).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").select(*COLUMNS)
+    with the smallest doc_id stays, null being the largest; of several with that doc_id exactly one. Documents with fewer
+    words, or with none, stay unless linked. Rows with the same doc_id and text are one row."""
+    found = jaccard_components(docs.withColumn("row", own_identity()), 5, 80, 100, carry=("row",))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stays = found.groupBy(F.coalesce(F.col("component").cast("string"), "row").alias("component")).agg(first["row"].alias("row"))
+    return only(docs, stays)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

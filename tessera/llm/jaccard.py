@@ -95,8 +95,9 @@ def _sets_of(batch: pa.RecordBatch, text: int, k: int):
         yield part, tokens, n, np.cumsum(n) - n
 
 
-def _classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, key, n, counted: of each row the hash of its set, the set's size and how many of it are below COUNTED."""
+def _classes(docs: DataFrame, k: int, *carry: str) -> DataFrame:
+    """doc_id, key, n, counted, ``carry``: of each row the hash of its set, the set's size and how many of it are below
+    COUNTED."""
 
     def make():
         def one(batch: pa.RecordBatch):
@@ -104,11 +105,13 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
                 below = np.cumsum(tokens < COUNTED)
                 below = np.concatenate([[0], below])
                 keys = [_key(tokens[a:a + m]) if m else 0 for a, m in zip(at.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(below[at + n] - below[at], pa.int64())], names=["doc_id", "key", "n", "counted"])
+                own = [batch.column(c).slice(part.start, part.stop - part.start) for c in (0, *range(2, 2 + len(carry)))]
+                yield pa.RecordBatch.from_arrays([own[0], pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(below[at + n] - below[at], pa.int64()), *own[1:]], names=["doc_id", "key", "n", "counted", *carry])
 
         return one
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, key long, n long, counted long")
+    rows = docs.select("doc_id", "text", *carry)
+    return map_batches(rows, make, ", ".join(["doc_id long, key long, n long, counted long", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)]))
 
 
 def _postings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -283,23 +286,25 @@ def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
     return lists.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``.
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``; with ``carry`` also those of its columns, and component.
 
     Rows link when den * shared >= num * union of their sets of k-word shingles; component_id is the smallest doc_id that
     links reach. Rows without words have no set and link with nothing; a null text has no words. Rows with the same doc_id
-    are linked as any others. A null doc_id counts as larger than any other.
+    are linked as any others. A null doc_id counts as larger than any other. component tells components apart that have the
+    same component_id, as repeated or null doc_ids may; null without words.
     """
-    classes = kept(_classes(docs, k), "classes")
+    classes = kept(_classes(docs, k, *carry), "classes")
     sized = classes.filter("n > 0")
     firsts = sized.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     prefixes = kept(_prefixes(docs, sized, k, num, den), "prefixes")
     sets = kept(_sets(docs, firsts.join(prefixes, "key", "left_semi"), k), "sets")
     label = kept(components(_links(prefixes, sets, num, den)), "labels")
     named = firsts.join(label, firsts["key"] == label["node"], "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
-    named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("key", "component_id")
-    linked = sized.join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return linked.unionByName(classes.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("key", "component_id", "component")
+    more, names = (carry, ["component"]) if carry else ((), [])
+    linked = sized.join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more, *names)
+    return linked.unionByName(classes.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more, *(F.lit(None).cast("long").alias(c) for c in names)))
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -53,3 +53,18 @@ def test_odd_rows(spark):
     empty = spark.createDataFrame([], d.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DIR).collect() == []
+
+
+LONG = " ".join(f"word{k}" for k in range(20))
+
+
+def test_repeated_and_null_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(4, "x"), (4, "y"), (5, "x"), (6, "z"), (6, "z"), (None, "no id"), (None, "no id"), (None, "other"), (None, "y"), (8, ""), (7, None), (3, LONG), (9, LONG + " more"), (None, "!")]
+    d = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], schema).repartition(3)
+    exact = kept(corpus_pipeline.exact_copies(spark, d, DIR), "odd")
+    want = [(4, "y"), (5, "x"), (6, "z"), (None, "no id"), (None, "other"), (8, ""), (3, LONG), (9, LONG + " more"), (None, "!")]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in exact.collect()) == collections.Counter(want)
+    near = corpus_pipeline.near_copies(spark, exact, DIR)
+    want.remove((9, LONG + " more"))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in near.collect()) == collections.Counter(want)
