@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, kept, map_batches, parts
@@ -175,18 +175,25 @@ def _from_bytes(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _row() -> Column:
+    return F.xxhash64("doc_id", "text").alias("__row")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """key, tokens: the sets of the wanted (doc_id, key) rows."""
+    """key, tokens: the sets of the wanted (row, key). A row is found by a hash, so what it finds counts only if its key is
+    the wanted one."""
 
     def make():
         def one(batch: pa.RecordBatch):
             for part, tokens, n, at in _sets_of(batch, 1, k):
-                blobs = [_as_bytes(tokens[a:a + m]) for a, m in zip(at.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), pa.array(blobs, pa.binary())], names=["key", "tokens"])
+                wanted = batch.column(0).slice(part.start, part.stop - part.start).to_pylist()
+                own = [(key, tokens[a:a + m]) for key, a, m in zip(wanted, at.tolist(), n.tolist(), strict=True) if m]
+                own = [(key, _as_bytes(x)) for key, x in own if _key(x) == key]
+                yield pa.RecordBatch.from_arrays([pa.array([key for key, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], names=["key", "tokens"])
 
         return one
 
-    rows = docs.select("doc_id", "text").join(wanted.select("doc_id", "key"), "doc_id").select("key", "text")
+    rows = docs.select(_row(), "text").join(wanted.select("__row", "key"), "__row").select("key", "text")
     return map_batches(rows, make, "key long, tokens binary").dropDuplicates(["key"])
 
 
@@ -294,9 +301,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     are linked as any others. A null doc_id counts as larger than any other. component tells components apart that have the
     same component_id, as repeated or null doc_ids may; null without words.
     """
-    classes = kept(_classes(docs, k, *carry), "classes")
+    classes = kept(_classes(docs.select("doc_id", "text", *carry, _row()), k, *carry, "__row"), "classes")
     sized = classes.filter("n > 0")
-    firsts = sized.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    firsts = sized.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("__row").alias("__row"))
     prefixes = kept(_prefixes(docs, sized, k, num, den), "prefixes")
     sets = kept(_sets(docs, firsts.join(prefixes, "key", "left_semi"), k), "sets")
     label = kept(components(_links(prefixes, sets, num, den)), "labels")

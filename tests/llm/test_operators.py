@@ -126,6 +126,17 @@ def test_jaccard_odd_rows(odd, empty):
     assert jaccard.jaccard_components(empty).collect() == []
 
 
+def test_jaccard_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (1, c), (2, a + " more"), (3, b + " more"), (None, c + " more"), (None, c + " tail"), (None, "far away from all the others")]
+    d = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    got = collections.Counter(tuple(r) for r in jaccard.jaccard_components(d, 4, 85, 100).collect())
+    assert got == {(1, 27, 1): 6, (2, 28, 1): 2, (3, 28, 1): 2, (None, 28, 1): 4, (None, 3, None): 2}
+    null = spark.createDataFrame([(None, c), (None, c + " more"), (None, "far away from all the others")], "doc_id long, text string")
+    found = jaccard.jaccard_components(null.withColumn("t", F.col("text")), 4, 85, 100, carry=("t",)).collect()
+    assert len({r["component"] for r in found}) == 2 and len({r["component"] for r in found if r["t"].startswith(c)}) == 1
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 200), (200, 150)], "a long, b long")
     got = dict(map(tuple, jaccard.components(links).collect()))
