@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -21,12 +24,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_OWN: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that spark.checkpoint.dir names, in the session or in the context's settings. Where none is named, one of
+    our own, and only with a local master: its executors share the machine's disk."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or _OWN.get(context.applicationId)
     if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _OWN[context.applicationId] = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
@@ -38,7 +49,44 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here and no step runs twice."""
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(spark, path, df.schema)
+
+
+def stored(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table of the shared folder, which ``forget`` and ``clear`` can delete."""
+    found = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    _PATHS[found] = path
+    _LEFT.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return found
+
+
+_LEFT: dict[str, set[str]] = {}
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``kept`` that nothing reads any more."""
+    for table in tables:
+        if table is not None and table in _PATHS:
+            _delete(table.sparkSession, _PATHS.pop(table))
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables of ``kept`` that are left, for callers who have written or read the operators' results."""
+    for path in list(_LEFT.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+    _LEFT.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
