@@ -377,11 +377,11 @@ def _links(prefixes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     now = kept(now.join(mixed, "token"), "mixed")
     members = kept(now.select("grp", "component", "key").distinct().join(sets.drop("tokens"), "key"), "members")
     bits = [f(c).alias(f"{c}_{kind}") for c in _SKETCH for kind, f in (("all", F.bit_and), ("any", F.bit_or))]
-    groups = now.select("token", "pos", "n", "grp", "component").distinct().join(members.groupBy("grp", "component").agg(*bits), ["grp", "component"])
+    groups = now.select("token", "pos", "n", "grp", "component").distinct().join(members.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("size"), *bits), ["grp", "component"])
     arrays = prefixes.select("grp", F.col("x.token").alias("tokens"), "end", (F.element_at("x", -1)["pos"] + 1).alias("depth")).dropDuplicates(["grp"])
     groups = kept(groups.join(arrays, "grp"), "groups")
     forget(lists, label, now)
-    names = ["token", "pos", "n", "grp", "component", "tokens", "end", "depth", *(f"{c}_{kind}" for c in _SKETCH for kind in ("all", "any"))]
+    names = ["token", "pos", "n", "size", "grp", "component", "tokens", "end", "depth", *(f"{c}_{kind}" for c in _SKETCH for kind in ("all", "any"))]
     left, right = (groups.select(*[F.col(c).alias(f"{c}_{s}") for c in names]) for s in "ab")
     least = F.ceil((F.col("n_a") + F.col("n_b")) * num / (num + den) - 1e-9)
     common = F.array_intersect("tokens_a", "tokens_b")
@@ -393,7 +393,10 @@ def _links(prefixes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         & _alike("a", "b", num, den)
         & (common[0] == F.col("token_a"))
         & (most >= least)
-    ).select("grp_a", "component_a", "grp_b", "component_b")
+    )
+    # the smaller group of a pair is expanded first: one row for each of its members, then for each pair of members left
+    turned = F.col("size_a") > F.col("size_b")
+    passed = passed.select(*[F.when(turned, F.col(f"{c}_{o}")).otherwise(F.col(f"{c}_{s}")).alias(f"{c}_{s}") for s, o in ("ab", "ba") for c in ("grp", "component")])
     sides = {s: members.select(F.col("grp").alias(f"grp_{s}"), F.col("component").alias(f"component_{s}"), F.col("key").alias(f"key_{s}"), F.col("n").alias(f"n_{s}"), *_own_sketch(s)) for s in "ab"}
     on = (F.col("p.grp_b") == F.col("q.grp_b")) & (F.col("p.component_b") == F.col("q.component_b")) & _alike("a", "b", num, den)
     expanded = passed.join(sides["a"], ["grp_a", "component_a"]).alias("p").join(sides["b"].alias("q"), on)
