@@ -99,7 +99,7 @@ def _key(tokens: np.ndarray) -> int:
 
 def _sets_of(batch: pa.RecordBatch, text: int, k: int):
     texts = [t or "" for t in batch.column(text).to_pylist()]
-    for part in parts(texts):
+    for part in parts(texts, 1_500_000):
         tokens, n = shingle_sets(texts[part], k)
         yield part, tokens, n, np.cumsum(n) - n
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import log
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +13,16 @@ ASSIGN_KEPT = ASSIGN.replace("=-]+)", "=-]{12,})")
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # a run that is too short has no longer match inside it
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
-#: Texts without this have no candidate of the battery.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Candidates: runs in either pair of signs, and in none, each with its padding. A run is thus tried whole and in its parts.
-RUNS = (r"[A-Za-z0-9+/]{16,}=*", r"[A-Za-z0-9_-]{16,}=*", r"[A-Za-z0-9]{16,}=*")
-CANDIDATE_LENGTH = 20
+#: Least length of a candidate: the one the assign pattern has for a secret.
+CANDIDATE_LENGTH = 12
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: A change of class that an ordinary word or number does not have.
+_CHANGE = "(?:[a-z][A-Z0-9]|[0-9][A-Za-z]|[A-Z][0-9])"
+#: Candidates: whole runs in either pair of signs, and in none, each with its padding, that have such a change. A run is thus
+#: tried whole and in its parts.
+RUNS = tuple(f"(?<![{s}])(?=[{s}]*{_CHANGE})[{s}]{{{CANDIDATE_LENGTH},}}=*" for s in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9"))
+#: Texts without this have no candidate.
+_ANY = f"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*{_CHANGE})[A-Za-z0-9+/_-]{{{CANDIDATE_LENGTH},}}"
 #: Alphabets by encoding, in the order of their values; narrowest first, and the first that holds a run counts.
 ALPHABETS = {
     "hex": (_DIGITS + "abcdef", "^[0-9a-f]+$"),
@@ -33,19 +35,34 @@ ALPHABETS = {
     "base64": (_UPPER + _LOWER + _DIGITS + "+/", "^[A-Za-z0-9+/]+$"),
     "base64_url": (_UPPER + _LOWER + _DIGITS + "-_", "^[A-Za-z0-9_-]+$"),
 }
-#: Upper 0.5 % point of the chi-squared distribution with three degrees of freedom.
-BATTERY_LIMIT = 12.84
-#: Share of capitals, digits and signs inside ordinary words, generously.
-PLAIN_RATE = 0.08
-#: Shares of a to z inside ordinary words in per mille, rare ones generously.
-PLAIN_LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 10, 10, 40, 24, 67, 75, 19, 10, 60, 63, 91, 28, 10, 24, 10, 20, 10)
-#: Share of ordinary words of a candidate's length that are in capitals throughout.
-PLAIN_CAPITALS = 0.001
+#: Of ordinary strings: the chance that two characters are equal (of those that pass for hexadecimal, and of others), how much
+#: more than a Poisson count the number of equal pairs varies per character, and changes of class per character.
+EQUAL_HEX, EQUAL, SPREAD, CHANGES = 0.12, 0.06, 0.04, 0.1
+#: Mean and deviation of the absolute value of a standard normal variable.
+HALF_MEAN, HALF_SPREAD = 0.797885, 0.602810
 FALSE_DISCOVERIES = 0.01
+#: States of a running fold are put together in blocks of so many, so that none copies what came long before.
+BLOCK = 256
+CHUNK = 4096
 
 _SPANS = "array<struct<start:bigint,end:bigint,hit:string>>"
 
 
+def let(value: str, name: str, then: str) -> str:
+    """SQL of ``then`` with ``name`` standing for ``value``, which is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {then}), 1)"
+
+
+def running(items: str, kind: str, zero: str, step: str) -> str:
+    """SQL of the array of states after each of ``items``, a name: ``zero`` is the state before, ``step`` the next one from
+    ``s`` and ``x``, ``kind`` a state's type. Time is in proportion to the number of items but for a step a block."""
+    inner = f"aggregate(part, named_struct('s', acc.s, 'out', cast(array() AS array<{kind}>)), (a, x) -> " + let(let("a.s", "s", step), "next", "named_struct('s', next, 'out', array_append(a.out, next))") + ")"
+    outer = f"""aggregate(transform(sequence(0, int((size({items}) - 1) / {BLOCK})), i -> slice({items}, i * {BLOCK} + 1, {BLOCK})),
+        named_struct('s', {zero}, 'outs', cast(array() AS array<array<{kind}>>)),
+        (acc, part) -> {let(inner, "r", "named_struct('s', r.s, 'outs', array_append(acc.outs, r.out))")}, acc -> flatten(acc.outs))"""
+    return f"CASE WHEN size({items}) = 0 THEN cast(array() AS array<{kind}>) ELSE {outer} END"
+
+
 def located(text: str, pattern: str, kept: str | None = None) -> Column:
     """Leftmost non-overlapping matches of a pattern as (start, end, hit), in code points, end exclusive.
 
@@ -54,57 +71,46 @@ def located(text: str, pattern: str, kept: str | None = None) -> Column:
     """
     quoted = "r'" + pattern.replace("'", "\\x27") + "'"
     hits, gaps = f"regexp_extract_all({text}, {quoted}, 0)", f"split({text}, {quoted}, -1)"
-    fold = f"""aggregate(zip_with({hits}, slice({gaps}, 1, size({hits})), (h, g) -> named_struct('hit', h, 'gap', g)),
-        named_struct('at', 0L, 'out', cast(array() AS {_SPANS})),
-        (a, x) -> named_struct('at', a.at + length(x.gap) + length(x.hit), 'out',
-            array_append(a.out, named_struct('start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.hit), 'hit', x.hit))),
-        a -> a.out)"""
+    step = "named_struct('start', s.end + length(x.gap), 'end', s.end + length(x.gap) + length(x.hit), 'hit', x.hit)"
+    fold = let(let(hits, "h", f"zip_with(h, slice({gaps}, 1, size(h)), (a, b) -> named_struct('hit', a, 'gap', b))"), "items", running("items", "struct<start:bigint,end:bigint,hit:string>", "named_struct('start', 0L, 'end', 0L, 'hit', '')", step))
     none = f"cast(array() AS {_SPANS})"
     return F.when(F.col(text).rlike(kept or pattern), F.expr(fold)).otherwise(F.expr(none))
 
 
 def battery(hit: str) -> str:
-    """SQL of one candidate's tests: named_struct(encoding, n, statistic, p).
-
-    statistic: the sum of squared normal scores of three tests of randomness over the values of the inferred encoding:
-    chi-squared uniformity over four equal parts of the alphabet (its upper tail), runs above and below the alphabet's
-    middle, lag-one serial correlation. p: a bound on the chance that an ordinary word is as likely to be random values of
-    that encoding (Markov's, over the ratio of both likelihoods, the first character left out), which falls with length,
-    divided by the chance that random values show such a statistic; 1 beyond BATTERY_LIMIT. Ordinary words are letters by
-    PLAIN_LETTERS (a PLAIN_CAPITALS of them in capitals throughout), else capitals, digits and signs at PLAIN_RATE. Neither
-    step makes p smaller than the bound, so it holds as a p-value. Padding at the end is no part of the values.
+    """SQL of one candidate's tests: named_struct(encoding, n, chi, z_chi, z_runs, z_serial, p). Time is in proportion to n.
+
+    Three tests over the values of the inferred encoding, each a normal score of how much better than an ordinary string of
+    that length the candidate agrees with random values:
+
+    * chi: chi-squared uniformity over the whole alphabet of k. It is k / n * (n + 2 * e) - n, where e pairs of characters
+      are equal; of an ordinary string EQUAL of all pairs are, give or take a Poisson count widened by SPREAD. The score
+      compares square roots.
+    * runs of one class (capitals, small letters, digits; signs left out; one capital before small letters is of their run,
+      as in names put together of words): in an ordinary string CHANGES of the places begin a run. The score compares arcs
+      of square roots.
+    * lag-one serial correlation, which random values have near 0 of either sign: score by the mean and deviation of an
+      absolute normal variable; what ordinary strings have is further off.
+
+    p is the upper tail of the scores' sum, divided by the square root of 3, and so the chance that an ordinary string of this
+    length looks as random. Values that are too regular (a row of letters, a repeated pair) lose by one test what they gain by
+    another. Padding at the end is no part of the values.
     """
-    body = f"rtrim('=', {hit})"
-    which = "CASE " + " ".join(f"WHEN rlike({body}, '{test}') THEN '{name}'" for name, (_, test) in ALPHABETS.items()) + " ELSE 'none' END"
+    which = "CASE " + " ".join(f"WHEN rlike(b, '{test}') THEN '{name}'" for name, (_, test) in ALPHABETS.items()) + " ELSE 'none' END"
     alphabet = "CASE e " + " ".join(f"WHEN '{name}' THEN '{letters}'" for name, (letters, _) in ALPHABETS.items()) + " ELSE '' END"
-
-    def let(value: str, names: str, then: str) -> str:
-        return f"element_at(transform(array({value}), {names} -> {then}), 1)"
-
-    chi = "(4.0D * aggregate(transform(array(0, 1, 2, 3), q -> size(filter(v, x -> x * 4 >= q * k AND x * 4 < (q + 1) * k))), 0.0D, (a, c) -> a + (c - n / 4.0D) * (c - n / 4.0D)) / n)"
-    chi_z = f"greatest(0.0D, (pow({chi} / 3.0D, 1.0D / 3) - (1 - 2.0D / 27)) / sqrt(2.0D / 27))"
-    high = "size(filter(v, x -> 2 * x >= k))"
-    runs = "(1 + size(filter(sequence(2, n), i -> (2 * v[i - 1] >= k) != (2 * v[i - 2] >= k))))"
-    runs_z = let(f"{high} * 1.0D", "h", f"CASE WHEN h = 0 OR h = n THEN 9.0D ELSE ({runs} - (1 + 2 * h * (n - h) / n)) / sqrt(2 * h * (n - h) * (2 * h * (n - h) - n) / (n * n * (n - 1.0D))) END")
-    centred = "(v[{}] - (k - 1) / 2.0D)"
-    serial_z = "aggregate(sequence(2, n), 0.0D, (a, i) -> a + " + centred.format("i - 1") + " * " + centred.format("i - 2") + ") / ((k * k - 1) / 12.0D) / sqrt(n - 1.0D)"
-    total = sum(PLAIN_LETTERS)
-    letter = "array(" + ", ".join(f"{log(c / total):.6f}D" for c in PLAIN_LETTERS) + ")"
-    # both: small letters and capitals. What counts as odd of the alphabet: all but small letters then, else all but letters
-    word = f"CASE WHEN rlike({body}, '[a-z]') THEN {body} ELSE lower({body}) END"
-    both = f"rlike({body}, '[a-z]') AND rlike({body}, '[A-Z]')"
-    odds = f"CASE WHEN {both} THEN k - 26.0D WHEN e LIKE 'hex%' OR e LIKE 'base36%' THEN 10.0D WHEN e LIKE 'base32%' THEN 6.0D ELSE k - 52.0D END"
-    ratio = let(
-        word, "w", let(odds, "o", f"aggregate(sequence(2, n), CASE WHEN w = {body} THEN 0.0D ELSE {-log(PLAIN_CAPITALS):.6f}D END, (a, i) -> a - ln(k) - CASE WHEN substring(w, i, 1) BETWEEN 'a' AND 'z' "
-        f"THEN {log(1 - PLAIN_RATE):.6f}D + {letter}[ascii(substring(w, i, 1)) - 97] ELSE {log(PLAIN_RATE):.6f}D - ln(o) END)"))
-    # upper tail of the chi-squared distribution with three degrees of freedom; erfc by Abramowitz and Stegun 7.1.26
-    tail = let("1 / (1 + 0.3275911D * sqrt(s / 2))", "t", "exp(-s / 2) * (t * (0.254829592D + t * (-0.284496736D + t * (1.421413741D + t * (-1.453152027D + t * 1.061405429D)))) + sqrt(2 * s / pi()))")
-    p = f"CASE WHEN s > {BATTERY_LIMIT} THEN 1.0D ELSE least(1.0D, exp(least(0.0D, -({ratio}))) / {tail}) END"
-    made = let(f"pow({chi_z}, 2) + pow({runs_z}, 2) + pow({serial_z}, 2)", "s", f"named_struct('encoding', e, 'n', n, 'statistic', s, 'p', {p})")
-    none = "named_struct('encoding', 'none', 'n', 0, 'statistic', 1e9D, 'p', 1.0D)"
-    values = f"transform(sequence(1, length({body})), i -> instr({alphabet}, substring({body}, i, 1)) - 1)"
-    with_values = let(f"named_struct('v', {values}, 'k', length({alphabet}))", "z", let("z.v", "v", let("z.k", "k", let("size(v)", "n", made))))
-    return let(which, "e", f"CASE WHEN e = 'none' OR length({body}) < 16 THEN {none} ELSE {with_values} END")
+    equal = "aggregate(split(l, ''), 0.0D, (a, c) -> a + " + let("double(length(b) - length(replace(b, c, '')))", "m", "m * (m - 1) / 2") + ")"
+    z_chi = f"2 * (sqrt(CASE WHEN e LIKE 'hex%' THEN {EQUAL_HEX}D ELSE {EQUAL}D END * n * (n - 1) / 2) - sqrt(q + 1)) / sqrt(1 + {SPREAD}D * n)"
+    classes = let("regexp_replace(b, '[^A-Za-z0-9]', '')", "w", let("double(length(w) - 1)", "m", f"CASE WHEN m < 1 THEN -9.0D ELSE 2 * sqrt(m) * (asin(sqrt((size(regexp_extract_all(w, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+', 0)) - 1) / m)) - asin(sqrt({CHANGES}D))) END"))
+    values = "transform(filter(split(b, ''), c -> c != ''), c -> instr(l, c) - 1 - (k - 1) / 2)"
+    serial = let(values, "v", "aggregate(zip_with(slice(v, 1, int(n) - 1), slice(v, 2, int(n) - 1), (x, y) -> x * y), 0.0D, (a, c) -> a + c) / ((n - 1) * (k * k - 1) / 12)")
+    z_serial = f"({HALF_MEAN}D - abs({serial}) * sqrt(n - 1)) / {HALF_SPREAD}D"
+    # upper tail of the normal distribution; erfc by Abramowitz and Stegun 7.1.26
+    tail = let("abs(z) / sqrt(2.0D)", "y", let("1 / (1 + 0.3275911D * y)", "t", "0.5D * exp(-y * y) * t * (0.254829592D + t * (-0.284496736D + t * (1.421413741D + t * (-1.453152027D + t * 1.061405429D))))"))
+    p = let("(z1 + z2 + z3) / sqrt(3.0D)", "z", let(tail, "u", "CASE WHEN z >= 0 THEN u ELSE 1 - u END"))
+    made = let(equal, "q", let(z_chi, "z1", let(classes, "z2", let(z_serial, "z3", f"named_struct('encoding', e, 'n', int(n), 'chi', k / n * (n + 2 * q) - n, 'z_chi', z1, 'z_runs', z2, 'z_serial', z3, 'p', {p})"))))
+    none = "named_struct('encoding', 'none', 'n', 0, 'chi', 0.0D, 'z_chi', 0.0D, 'z_runs', 0.0D, 'z_serial', 0.0D, 'p', 1.0D)"
+    known = let(alphabet, "l", let("double(length(l))", "k", let("double(length(b))", "n", made)))
+    return let(f"rtrim('=', {hit})", "b", let(which, "e", f"CASE WHEN e = 'none' OR length(b) < 2 THEN {none} ELSE {known} END"))
 
 
 def scan(docs: DataFrame, *carry: str) -> DataFrame:
@@ -112,25 +118,32 @@ def scan(docs: DataFrame, *carry: str) -> DataFrame:
 
     base: matches of the fixed patterns. spans: those, and what the battery adds: candidates (RUNS; '=' is part of one only
     at its end) that lie clear of base spans, in no other candidate found, and are discoveries of the Benjamini-Hochberg rule
-    at rate FALSE_DISCOVERIES among the text's candidates, by the battery's p. Null text counts as empty, which has no span; every row of a
-    repeated doc_id is scanned on its own.
+    at rate FALSE_DISCOVERIES among the text's candidates, by the battery's p, which grows with how likely an ordinary string
+    of that length is. Null text counts as empty, which has no span; every row of a repeated or null doc_id is scanned on its
+    own; an empty table gives none; a run of any length is tested whole, in time in proportion to it.
     """
     d = texts(docs, *carry)
     d = d.withColumns({"__a": located("text", ASSIGN, ASSIGN_KEPT), "__k": located("text", ACCESS), "__h": located("text", HEX)})
-    d = d.withColumns({f"__c{i}": located("text", run, CANDIDATE) for i, run in enumerate(RUNS)})
+    d = d.withColumns({f"__c{i}": located("text", run, _ANY) for i, run in enumerate(RUNS)})
     group2 = "r'" + ASSIGN.replace("'", "\\x27") + "'"
     kind = lambda name, column, test="true": f"transform(filter({column}, x -> {test}), x -> named_struct('start', x.start, 'kind', {KINDS.index(name)}, 'end', x.end))"
     d = d.withColumn("base", F.expr(f"array_sort(concat({kind('assign', '__a', f'length(regexp_extract(x.hit, {group2}, 2)) >= 12')}, {kind('access', '__k')}, {kind('hex', '__h')}))"))
-    clear = "NOT exists(base, b -> b.start < x.end AND x.start < b.end)"
-    d = d.withColumn("__c", F.expr(f"array_distinct(concat({', '.join(f'__c{i}' for i in range(len(RUNS)))}))"))
-    d = d.withColumn("__t", F.expr(f"transform(filter(__c, x -> length(x.hit) >= {CANDIDATE_LENGTH} AND {clear}), x -> named_struct('p', ({battery('x.hit')}).p, 'start', x.start, 'end', x.end))"))
+    # candidates and base spans in order; of each, how far a base span before reaches and where the next one starts
+    d = d.withColumn("__c", F.expr(f"array_sort(concat(transform(array_distinct(concat({', '.join(f'__c{i}' for i in range(len(RUNS)))})), x -> named_struct('start', x.start, 'end', x.end, 'hit', x.hit)), transform(base, x -> named_struct('start', x.start, 'end', x.end, 'hit', ''))))"))
+    d = d.withColumn("__r", F.expr("reverse(__c)"))
+    d = d.withColumn("__u", F.expr(running("__c", "bigint", "0L", "CASE WHEN x.hit = '' THEN greatest(s, x.end) ELSE s END")))
+    next_base = running("__r", "bigint", f"{2**62}L", "CASE WHEN x.hit = '' THEN x.start ELSE s END")
+    d = d.withColumn("__d", F.expr(f"reverse({next_base})"))
+    tried = "filter(transform(arrays_zip(__c, __u, __d), z -> named_struct('x', z.__c, 'clear', z.__c.hit != '' AND z.__u <= z.__c.start AND z.__d >= z.__c.end)), z -> z.clear)"
+    d = d.withColumn("__t", F.expr(f"CASE WHEN size(__c) = size(base) THEN array() ELSE transform({tried}, z -> named_struct('p', ({battery('z.x.hit')}).p, 'start', z.x.start, 'end', z.x.end)) END"))
     # Benjamini-Hochberg: the largest rank whose p lies under its line
     d = d.withColumn("__t", F.expr("array_sort(__t)"))
     d = d.withColumn("__m", F.expr(f"coalesce(array_max(filter(sequence(0, size(__t)), i -> i > 0 AND __t[i - 1].p <= {FALSE_DISCOVERIES} * i / size(__t))), 0)"))
-    d = d.withColumn("__f", F.expr("slice(__t, 1, __m)"))
-    outer = "filter(__f, x -> NOT exists(__f, y -> y.start <= x.start AND y.end >= x.end AND y.end - y.start > x.end - x.start))"
-    added = f"transform({outer}, x -> named_struct('start', x.start, 'kind', {KINDS.index('random')}, 'end', x.end))"
-    d = d.withColumn("spans", F.expr(f"CASE WHEN size(__t) = 0 THEN base ELSE array_sort(concat(base, {added})) END"))
+    # what lies in a longer discovery goes: in order of start, the longest first, it ends no later than one before
+    d = d.withColumn("__f", F.expr("array_sort(transform(slice(__t, 1, __m), x -> named_struct('start', x.start, 'back', -x.end)))"))
+    d = d.withColumn("__e", F.expr(running("__f", "struct<before:bigint,upto:bigint>", "named_struct('before', -1L, 'upto', -1L)", "named_struct('before', s.upto, 'upto', greatest(s.upto, -x.back))")))
+    added = f"transform(filter(arrays_zip(__f, __e), z -> -z.__f.back > z.__e.before), z -> named_struct('start', z.__f.start, 'kind', {KINDS.index('random')}, 'end', -z.__f.back))"
+    d = d.withColumn("spans", F.expr(f"CASE WHEN __m = 0 THEN base ELSE array_sort(concat(base, {added})) END"))
     return d.select("doc_id", "text", *carry, "base", "spans")
 
 
@@ -140,12 +153,16 @@ def written(spans: str) -> Column:
 
 
 def masked(text: str = "text", spans: str = "spans", mask: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping spans replaced by the mask."""
-    fold = f"""aggregate({spans}, named_struct('at', 0L, 'out', ''),
-        (a, x) -> named_struct('at', greatest(a.at, x.end), 'out',
-            CASE WHEN x.start >= a.at THEN concat(a.out, substring({text}, int(a.at + 1), int(x.start - a.at)), '{mask}') ELSE a.out END),
-        a -> concat(a.out, substring({text}, int(a.at + 1))))"""
-    return F.when(F.size(spans) == 0, F.col(text)).otherwise(F.expr(fold))
+    """The text with each run of overlapping spans replaced by the mask. Parts are taken from chunks of CHUNK characters, as
+    taking one from a string costs time in proportion to the whole string."""
+    part = f"""CASE WHEN high <= low THEN '' ELSE array_join(transform(sequence(low div {CHUNK}, (high - 1) div {CHUNK}), c ->
+        substring(chunks[int(c)], int(greatest(low - c * {CHUNK}, 0) + 1), int(least(high, (c + 1) * {CHUNK}) - greatest(low, c * {CHUNK})))), '') END"""
+    step = "CASE WHEN x.start >= s.upto THEN named_struct('low', s.upto, 'high', x.start, 'upto', x.end) ELSE named_struct('low', -1L, 'high', -1L, 'upto', greatest(s.upto, x.end)) END"
+    gaps = running(spans, "struct<low:bigint,high:bigint,upto:bigint>", "named_struct('low', 0L, 'high', 0L, 'upto', 0L)", step)
+    before = "array_join(transform(filter(gaps, g -> g.low >= 0), g -> concat(" + let("g.low", "low", let("g.high", "high", part)) + f", '{mask}')), '')"
+    after = let("element_at(gaps, -1).upto", "low", let(f"bigint(length({text}))", "high", part))
+    whole = let(f"transform(sequence(0, int(length({text}) / {CHUNK})), i -> substring({text}, i * {CHUNK} + 1, {CHUNK}))", "chunks", let(gaps, "gaps", f"concat({before}, {after})"))
+    return F.when(F.size(spans) == 0, F.col(text)).otherwise(F.expr(whole))
 
 
 def op10_secret_scans(spark, sf_dir: str) -> DataFrame:
