@@ -80,6 +80,34 @@ def test_exact_dedup(corpus, odd, empty):
     assert dedup.exact_dedup(empty).collect() == []
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_index_splits_and_chains(spark, monkeypatch, hot):
+    """A tiny directory: slots that are over capacity are split further, one text with most rows gets overflow pages, and
+    texts with a key in common are told apart by their bytes."""
+    monkeypatch.setattr(dedup, "SLOT_BITS", 3)
+    monkeypatch.setattr(dedup, "MOST_HOT", hot)
+    monkeypatch.setattr(dedup.F, "xxhash64", lambda c: (F.length(c) % 7).cast("long") * (1 << 60))
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(300)] + ["hot" * 5] * 400 + [None, ""]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    by = collections.defaultdict(list)
+    for k, t in rows:
+        by[t or ""].append(k)
+    got = dedup.exact_dedup(d, capacity=5).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        group = by[texts[r["doc_id"]] or ""]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (max(group), len(group), r["doc_id"] == max(group))
+    entries = dedup.index(d, 5).collect()
+    assert sorted(r["text"] for r in entries) == sorted(by) and max(r["depth"] for r in entries) > 3
+    chains = collections.defaultdict(list)
+    for r in entries:
+        chains[r["bucket"], r["key"]].append(r["chain"])
+    assert all(sorted(x) == list(range(len(x))) for x in chains.values()) and max(map(len, chains.values())) > 20
+
+
 def test_directory_doubling():
     counts = {k: 10 for k in range(0, 16)} | {16: 500}
     buckets = dedup.split_buckets(counts, 40, bits=5)
