@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, kept
-from tessera.llm.dedup import exact_dedup
+from tessera.llm.dedup import deduplicated
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.langid import UNKNOWN, predict, train
 from tessera.llm.packing import encode_pieces, pack
@@ -46,8 +46,8 @@ def only(docs: DataFrame, stays: DataFrame) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, a null one counting as empty, exactly one row stays: one with the largest doc_id, null being the
-    smallest. So a row with a repeated or null doc_id stays or goes by its own text."""
-    return only(docs, exact_dedup(docs).filter("kept").select(identity("text_sha256").alias("row")))
+    smallest; of several with that doc_id, one with the largest lang, source and n_chars, a text before a null."""
+    return deduplicated(docs, ("lang", "source", "n_chars")).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
