@@ -70,6 +70,16 @@ def forget(*tables: DataFrame | None) -> None:
             _delete(table.sparkSession, _PATHS.pop(table))
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """What ``make`` gives, as a table of ``kept``; all other tables that were written for it are deleted."""
+    before = set(_LEFT.get(spark.sparkContext.applicationId, ()))
+    table = kept(make(), what)
+    for path in _LEFT[spark.sparkContext.applicationId] - before - {_PATHS[table]}:
+        _delete(spark, path)
+    release(spark)
+    return table
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all tables of ``kept`` that are left, for callers who have written or read the operators' results."""
     for path in list(_LEFT.get(spark.sparkContext.applicationId, ())):
