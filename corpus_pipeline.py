@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, kept
+from tessera.llm.common import documents, forget, kept, settled
 from tessera.llm.dedup import deduplicated
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.langid import UNKNOWN, predict, train
@@ -85,8 +85,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
+    """All stages, each written to the shared folder and read again. What a stage wrote on its way is deleted when its result
+    is there, and a result when the next one is; ``common.clear`` deletes what the last one reads."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
