@@ -133,7 +133,19 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
-def parts(values: list, limit: int = 4_000_000) -> Iterator[slice]:
+_HELD: dict[str, dict] = {}
+
+
+def held(what: str, key, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: ``make``'s object for ``key``. Only one operator's objects are kept, so a worker
+    that goes on to another step does not hold the models of the one before."""
+    if what not in _HELD or key not in _HELD[what]:
+        _HELD.clear()
+        _HELD[what] = {key: make()}
+    return _HELD[what][key]
+
+
+def parts(values: list, limit: int = 2_000_000) -> Iterator[slice]:
     """Slices of a batch of texts that hold about ``limit`` characters at most (one text at least), so memory stays bounded."""
     a = n = 0
     for k, v in enumerate(values):

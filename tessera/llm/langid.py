@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, map_batches
+from .common import documents, held, held_out, map_batches, parts
 
 #: Characters of labelled text per language that a model is built from: a bounded sample, the rows of lowest hash.
 SAMPLE_CHARS = 120_000
 #: Rows per language that may reach the driver while the sample is drawn, and code points of one of them.
 SAMPLE_ROWS, ROW_CHARS = 400, 2_000
 UNKNOWN = "und"
-#: Words whose phrase counts a worker remembers; beyond it the table starts again.
-KNOWN = 700_000
-#: Bits of one language's count where the counts of all languages are added up as one integer.
-BITS = 32
+#: Characters, the commonest of the models' texts, whose transitions stand in a table by state; others' are looked up.
+DENSE = 96
+#: Texts that are parsed side by side until so few of them are left; these go on one by one.
+SIDE_BY_SIDE = 12
 
 
 class SuffixAutomaton:
@@ -75,14 +77,31 @@ class SuffixAutomaton:
         return count + (state != 0)
 
 
-def normalised(word: str) -> str:
-    """What is parsed of a word: its letters in lower case between blanks; nothing if it has no letter."""
-    letters = "".join(c for c in word.lower() if c.isalpha())
-    return f" {letters} " if letters else ""
+def _kinds() -> np.ndarray:
+    """1 for letters, 2 for blanks, 0 for what is left out, by code point."""
+    table = np.zeros(0x110000, np.uint8)
+    for k in range(0x110000):
+        c = chr(k)
+        table[k] = 1 if c.isalpha() else 2 if c.isspace() else 0
+    return table
+
 
+def letters(text: str, kinds: np.ndarray) -> np.ndarray:
+    """The code points that are parsed of a text: its letters in lower case, words between single blanks; none without a
+    letter. A word without a letter leaves no second blank."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds[points]
+    points, kind = np.where(kind == 2, 32, points)[kind > 0], kind[kind > 0]
+    if not (kind == 1).any():
+        return points[:0]
+    blank = np.concatenate([[True], kind == 2, [True]])
+    points = np.concatenate([[32], points, [32]]).astype(np.uint32)
+    return points[~(blank & np.concatenate([[False], blank[:-1]]))]
 
-def clean(text: str) -> str:
-    return "".join(x[1:] for x in map(normalised, text.split()))
+
+def clean(text: str, kinds: np.ndarray) -> str:
+    """The same as text, without the first blank."""
+    return letters(text, kinds).tobytes().decode("utf-32-le", "surrogatepass")[1:]
 
 
 def sample(labelled: DataFrame) -> dict[str, str]:
@@ -97,8 +116,9 @@ def sample(labelled: DataFrame) -> dict[str, str]:
         n = SAMPLE_ROWS if len(group) == 1 else max(8, SAMPLE_ROWS // 64)
         rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("h", "text"))).filter(F.col("r") <= n).drop("r")
     found: dict[str, list[str]] = {}
+    kinds = _kinds()
     for r in rows.dropDuplicates(["lang", "text"]).orderBy("lang", "h", "text").collect():
-        found.setdefault(r["lang"], []).append(clean(r["text"]))
+        found.setdefault(r["lang"], []).append(clean(r["text"], kinds))
     return {lang: " " + "".join(x)[:SAMPLE_CHARS] for lang, x in found.items() if any(x)}
 
 
@@ -116,50 +136,126 @@ def purified(samples: dict[str, str]) -> dict[str, str]:
 
 
 class Identifier:
+    """Models of all languages, and the cross parsing of whole texts by all of them at once."""
+
     def __init__(self, samples: dict[str, str]):
-        self.langs = sorted(samples)
-        self.models = [SuffixAutomaton(samples[x]) for x in self.langs]
-        self.known: dict[str, int] = {}
-
-    def _counts(self, word: str) -> int:
-        """Phrases per language and the parsed characters, side by side in one integer, so that counts of many words add
-        up at once. Parsing starts anew at each word, so a word's count is the same in any text."""
-        text = normalised(word)
-        if not text:
-            return 0
-        total = len(text) << BITS * len(self.models)
-        for k, m in enumerate(self.models):
-            total += m.phrases(text) << BITS * k
-        return total
-
-    def identify(self, text: str | None) -> tuple[str, float]:
-        """(language, score). score: how much fewer phrases the winner needs than the runner-up, mapped to 0.5 to 1 by a
-        logistic curve; 0 where there is nothing to parse or no model. Ties go to the first language by name."""
-        if not text or not self.models:
-            return UNKNOWN, 0.0
-        known = self.known
-        words = text.split()
-        try:
-            total = sum(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > KNOWN:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self._counts(w)
-            total = sum(map(known.__getitem__, words))
-        mask = (1 << BITS) - 1
-        chars = total >> BITS * len(self.models)
-        if not chars:
-            return UNKNOWN, 0.0
-        # phrases per character, each phrase costing the logarithm of the model's size
-        rate = [(total >> BITS * k & mask) / chars for k in range(len(self.models))]
-        order = sorted(range(len(rate)), key=rate.__getitem__)
-        margin = 1.0 if len(rate) == 1 else (rate[order[1]] - rate[order[0]]) / max(rate[order[1]], 1e-9)
-        return self.langs[order[0]], float(1 / (1 + np.exp(-25 * margin)))
-
-
-_IDENTIFIERS: dict[tuple, Identifier] = {}
+        self.langs, self.kinds = sorted(samples), _kinds()
+        points, counts = np.unique(np.frombuffer("".join(samples.values()).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+        points = points[np.argsort(-counts, kind="stable")]
+        #: 0 stands for characters that no model's text has; 1 to wide for those in the table; others follow
+        self.symbol = np.zeros(0x110000, np.int32)
+        self.symbol[points] = np.arange(1, len(points) + 1)
+        self.all, self.wide = len(points) + 1, min(len(points), DENSE) + 1
+        tables, rare, self.roots, at = [], [], [], 0
+        for lang in self.langs:
+            model = SuffixAutomaton(samples[lang])
+            states = len(model.next)
+            # of a hit twice the next state; else twice the state that a new phrase starts in, and one more
+            table = np.ones((states, self.wide), np.int32)
+            table[:, 1:] += 2 * at
+            table[:, 0] += 2 * at
+            for c, to in model.next[0].items():
+                k = self.symbol[ord(c)]
+                if k < self.wide:
+                    table[:, k] = 2 * (at + to) + 1
+            for state, edges in enumerate(model.next):
+                for c, to in edges.items():
+                    k = self.symbol[ord(c)]
+                    if k < self.wide:
+                        table[state, k] = 2 * (at + to)
+                    else:
+                        rare.append(((at + state) * self.all + k, 2 * (at + to)))
+            tables.append(table)
+            self.roots.append(at)
+            at += states
+        self.table = np.concatenate(tables) if tables else np.ones((1, self.wide), np.int32)
+        self.roots = np.array(self.roots, np.int64)
+        rare.sort()
+        self.rare = np.array([k for k, _ in rare], np.int64)
+        self.rare_to = np.array([t for _, t in rare], np.int32)
+
+    def _step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Next states of (models, texts), doubled, odd where a phrase starts anew."""
+        v = self.table[state, np.minimum(c, self.wide - 1)]
+        far = np.flatnonzero(c >= self.wide)
+        if len(far):
+            for m, root in enumerate(self.roots):
+                found = [self._rare(s * self.all + c[far]) for s in (state[m, far], root)]
+                v[m, far] = np.where(found[0] >= 0, found[0], np.where(found[1] >= 0, found[1] + 1, 2 * root + 1))
+        return v
+
+    def _rare(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.rare):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+        return np.where(self.rare[at] == key, self.rare_to[at], -1)
+
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """(models, texts): phrases of each text's cross parsing by each model. Texts are parsed side by side, a character of
+        each at a time, the longest first in line, so those that are done drop off the end."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        codes = self.symbol[np.concatenate([texts[i] for i in order])] if len(order) and sizes.sum() else np.zeros(0, np.int32)
+        sizes = sizes[order]
+        start = np.cumsum(sizes) - sizes
+        roots = self.roots[:, None]
+        state = np.repeat(roots, len(texts), axis=1)
+        count = np.zeros(state.shape, np.int64)
+        left = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), "left")  # texts longer than t
+        t = 0
+        while t < len(left) and left[t] > SIDE_BY_SIDE:
+            m = left[t]
+            v = self._step(state[:, :m], codes[start[:m] + t])
+            new = (v >> 1).astype(np.int64)
+            # what ends here: the phrase so far, if there is one, and a character that is a phrase of its own
+            count[:, :m] += (v & 1) * ((state[:, :m] != roots).astype(np.int64) + (new == roots))
+            state[:, :m] = new
+            t += 1
+        if t < len(left):
+            flat, wide = memoryview(self.table.reshape(-1)), self.wide
+            for i in range(left[t]):
+                rest = codes[start[i] + t:start[i] + sizes[i]].tolist()
+                for m, root in enumerate(self.roots.tolist()):
+                    s, n = int(state[m, i]), 0
+                    for c in rest:
+                        v = flat[s * wide + c] if c < wide else self._rare_one(s, c, root)
+                        new = v >> 1
+                        if v & 1:
+                            n += (s != root) + (new == root)
+                        s = new
+                    state[m, i], count[m, i] = s, count[m, i] + n
+        count += state != roots
+        out = np.empty_like(count)
+        out[:, order] = count
+        return out
+
+    def _rare_one(self, state: int, c: int, root: int) -> int:
+        for s, odd in ((state, 0), (root, 1)):
+            to = int(self._rare(np.array([s * self.all + c]))[0])
+            if to >= 0:
+                return to + odd
+        return 2 * root + 1
+
+    def identify(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Languages and scores of whole texts. A score says how much fewer phrases the winner needs per character than the
+        runner-up, mapped to 0.5 to 1 by a logistic curve; 0 where there is nothing to parse or no model. Ties go to the first
+        language by name."""
+        parsed = [letters(t, self.kinds) if t else np.empty(0, np.uint32) for t in texts]
+        sizes = np.array([len(x) for x in parsed])
+        langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        some = np.flatnonzero(sizes > 0) if self.langs else []
+        if len(some):
+            rate = self.phrases([parsed[i] for i in some]) / sizes[some]
+            order = np.argsort(rate, axis=0, kind="stable")
+            first = np.take_along_axis(rate, order[:1], 0)[0]
+            if len(self.langs) > 1:
+                second = np.take_along_axis(rate, order[1:2], 0)[0]
+                margin = (second - first) / np.maximum(second, 1e-9)
+            else:
+                margin = np.ones(len(some))
+            langs[some] = np.array(self.langs, object)[order[0]]
+            scores[some] = 1 / (1 + np.exp(-25 * margin))
+        return langs.tolist(), scores.tolist()
 
 
 def predict(docs: DataFrame, samples: dict[str, str], *carry: str) -> DataFrame:
@@ -167,19 +263,17 @@ def predict(docs: DataFrame, samples: dict[str, str], *carry: str) -> DataFrame:
     letter. samples: see ``sample``; it has a bounded size and is sent to every task."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(samples)
-    key = tuple(sorted((k, hash(v)) for k, v in samples.items()))
+    key = tuple(sorted((k, zlib.crc32(v.encode())) for k, v in samples.items()))
 
     def make():
-        if key not in _IDENTIFIERS:
-            _IDENTIFIERS.clear()
-            _IDENTIFIERS[key] = Identifier(sent.value)
-        model = _IDENTIFIERS[key]
+        model = held("identifier", key, lambda: Identifier(sent.value))
 
         def one(batch: pa.RecordBatch):
-            text = batch.column(0).to_pylist()
-            found = [model.identify(t) for t in text]
-            kept = [batch.column(k) for k in range(1, batch.num_columns)]
-            return pa.RecordBatch.from_arrays([*kept, pa.array([x for x, _ in found]), pa.array([x for _, x in found], pa.float64())], names=[*names, "lang_pred", "score"])
+            text = [t or "" for t in batch.column(0).to_pylist()]
+            for part in parts(text, 8_000_000):
+                langs, scores = model.identify(text[part])
+                own = [batch.column(k).slice(part.start, part.stop - part.start) for k in range(1, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
         return one
 
@@ -200,4 +294,3 @@ def op6_language_id(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
-__all__ = ["Identifier", "SuffixAutomaton", "op6_language_id", "predict", "sample", "train"]

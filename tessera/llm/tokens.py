@@ -16,6 +16,8 @@ import unicodedata
 
 import numpy as np
 
+from .common import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 LETTER, NUMBER, OTHER, SPACE, UNSURE = 0, 1, 2, 3, 4
@@ -229,14 +231,9 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """The worker's encoder of a tokenizer file; it lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder of a tokenizer file."""
+    return held("encoder", path, lambda: WordEncoder(path))
 
 
 def default_path() -> str:

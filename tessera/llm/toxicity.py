@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, map_batches, parts
+from .common import documents, held, held_out, map_batches, parts
 
 #: Labelled rows of either class that the model is fitted on at most (those of lowest hash).
 TOXIC_ROWS, CLEAN_ROWS = 1_500, 3_500
@@ -281,19 +281,13 @@ def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted of every whole text (null: empty). The model has one size whatever it was fitted on."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     key = hash((model.weights.tobytes(), model.bias, model.slope, model.level))
 
     def make():
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(sent.value)
-        scorer = _SCORERS[key]
+        scorer = held("scorer", key, lambda: Scorer(sent.value))
 
         def one(batch: pa.RecordBatch):
             ids, text = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]

@@ -529,6 +529,29 @@ def test_suffix_automaton():
         assert langid.SuffixAutomaton(model).phrases(x) == slow(model, x)
 
 
+@pytest.mark.parametrize("dense, side", [(96, 12), (3, 1), (5, 40)])
+def test_cross_parsing_of_whole_texts(monkeypatch, dense, side):
+    """Phrases run over word ends; every model's count of every text is that of the automaton walked by itself."""
+    monkeypatch.setattr(langid, "DENSE", dense)
+    monkeypatch.setattr(langid, "SIDE_BY_SIDE", side)
+    rng = random.Random(31)
+    kinds = langid._kinds()
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(n))
+    samples = {lang: " " + langid.clean(make(letters, 200), kinds) for lang, letters in (("a", "abcde"), ("b", "bcdefé"), ("c", "ñoß日本"))}
+    model = langid.Identifier(samples)
+    texts = [make(rng.choice(["abcde", "bcdefé", "ñoß日本", "ABCxyz 1!é日"]), rng.randrange(0, 60)) for _ in range(120)] + ["", "1 2", "a", "Z", "İ x", "a\n\n-  b", "word " * 3000, make("abcdefé", 3000)]
+    assert [langid.clean(t, kinds) for t in texts[-6:-2]] == ["a ", "z ", "i x ", "a b "]
+    parsed = [langid.letters(t, kinds) for t in texts]
+    counts = model.phrases(parsed)
+    for m, lang in enumerate(model.langs):
+        slow = langid.SuffixAutomaton(samples[lang])
+        assert counts[m].tolist() == [slow.phrases((" " + langid.clean(t, kinds)) if len(p) else "") for t, p in zip(texts, parsed)]
+    langs, scores = model.identify(texts)
+    for i, t in enumerate(texts):
+        rate = counts[:, i] / max(len(parsed[i]), 1)
+        assert langs[i] == (model.langs[int(np.argmin(rate))] if len(parsed[i]) else "und") and 0 <= scores[i] <= 1
+
+
 def test_language(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.train(docs)
