@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, map_batches, parts, texts
-from .tokens import LONG, UNSURE, WordEncoder, boundaries, byte_alphabet, default_path, encoder, little_endian
+from .tokens import LONG, UNSURE, WordEncoder, boundaries, byte_alphabet, classes_of, default_path, encoder, little_endian
 
 #: Code points of a leaf: longer texts are cut into leaves, which may be encoded by different tasks.
 LEAF = 32_768
@@ -64,8 +64,7 @@ class Leaf:
     def __init__(self, enc: WordEncoder, text: str):
         self.text = text
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = enc.table[np.minimum(points, 0xFFFF)]
-        kind[points > 0xFFFF] = UNSURE
+        kind = classes_of(points, enc.table)
         self.sure = not (kind == UNSURE).any() and not any(s in text for s in enc.special)
         if not self.sure or not text:
             return
@@ -169,13 +168,12 @@ class Decoder:
         return self.bytes_of(ids)[0].decode("utf-8", "replace")
 
 
-_DECODERS: dict[str, Decoder] = {}
-
-
 def decoder(path: str) -> Decoder:
-    if path not in _DECODERS:
-        _DECODERS[path] = Decoder(encoder(path))
-    return _DECODERS[path]
+    """The worker's decoder of a tokenizer file, which lives as long as its encoder."""
+    enc = encoder(path)
+    if enc.decoder is None:
+        enc.decoder = Decoder(enc)
+    return enc.decoder
 
 
 def round_trips(docs: DataFrame, path: str, leaf: int = LEAF, with_ids: bool = False) -> DataFrame:

@@ -26,27 +26,37 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Pre-tokens longer than this many code points are passed to the library without being remembered.
 LONG = 512
 MARK = 0x10FFFF
+#: Code points whose classes stand in a table.
+PLANES = 0x30000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _class_of(c: str) -> int:
+    """A character's class, UNSURE where it may not be the same in all versions of the Unicode tables: letters, numbers and
+    blanks that the oldest tables do not have, and what the newest at hand do not. Signs were never of another class."""
+    classes = {"L": LETTER, "N": NUMBER, "Z": SPACE}
     new, old = unicodedata.category(c), unicodedata.ucd_3_2_0.category(c)
     if c.isspace() and c not in "\x1c\x1d\x1e\x1f":
         return SPACE if old[0] == "Z" or c in "\t\n\v\f\r\x85" else UNSURE
-    if new[0] != old[0] or new in ("Cn", "Zs"):
+    found = classes.get(new[0], OTHER)
+    if new in ("Cn", "Zs") or found != classes.get(old[0], OTHER):
         return UNSURE
-    return {"L": LETTER, "N": NUMBER}.get(new[0], OTHER)
+    return OTHER if found == SPACE else found
 
 
 def class_table() -> np.ndarray:
-    """The class of every code point of the first plane; beyond it, characters are UNSURE."""
-    table = np.full(0x10000, UNSURE, np.uint8)
-    for k in range(0x10000):
+    """The class of the code points of the first three planes; a last entry stands for those beyond, which are UNSURE."""
+    table = np.full(PLANES + 1, UNSURE, np.uint8)
+    for k in range(PLANES):
         if not 0xD800 <= k < 0xE000:
             table[k] = _class_of(chr(k))
     return table
 
 
+def classes_of(points: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[np.minimum(points, PLANES)]
+
+
 def boundaries(points: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Where pre-tokens start. ``first`` flags the first code point of each text; texts never share a pre-token."""
     n = len(points)
@@ -92,6 +102,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table, self.known, self.alphabet = class_table(), known, byte_alphabet()
+        self.decoder = None
         self._clear()
 
     def _clear(self) -> None:
@@ -113,8 +124,7 @@ class WordEncoder:
             return np.empty(0, np.uint32), out
         ends = np.cumsum(sizes)
         begins = ends - sizes
-        kind = self.table[np.minimum(points, 0xFFFF)]
-        kind[points > 0xFFFF] = UNSURE
+        kind = classes_of(points, self.table)
         odd = np.zeros(len(texts), bool)
         unsure = np.flatnonzero(kind == UNSURE)
         if len(unsure):

@@ -74,3 +74,18 @@ def test_decoding_of_cut_characters(enc):
 
 def test_empty_table(spark):
     assert round_trips(spark.createDataFrame([], "doc_id long, text string"), default_path()).collect() == []
+
+
+def test_signs_beyond_the_first_plane_are_table_encoded(enc):
+    """Emoji and other signs are classed alike in all Unicode tables, so long texts with them go through the tree."""
+    rng = random.Random(8)
+    signs = "😀🎉𝄞🤖👩‍🚀𠀀𐍈"
+    assert all(Leaf(enc, c).sure for c in signs)
+    for _ in range(40):
+        text = drawn(rng, 600, ALPHABET[:8] + signs)
+        leaves = [Leaf(enc, text[a:a + 150]) for a in range(0, len(text), 150)]
+        assert all(x.sure for x in leaves) and encode_tree(enc, leaves).tolist() == ids_of(enc, text)
+    sample = [chr(k) for k in range(0x20, 0x30000, 37) if enc.table[k] != 4]
+    batch = [f"a{c}1{c} {c}{c}a  {c}'s{c}\n{c}" for c in sample]
+    ids, at = enc.encode(batch)
+    assert all(ids[at[k]:at[k + 1]].tolist() == ids_of(enc, t) for k, t in enumerate(batch))
