@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -120,7 +121,10 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     """mapInArrow with set-up once per task. ``make`` returns the function of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _USED.clear()
         f = make()
+        if not _USED:
+            _drop()
         for b in batches:
             if b.num_rows:
                 out = f(b)
@@ -134,15 +138,30 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
 
 _HELD: dict[str, dict] = {}
+_USED: set[str] = set()
 
 
 def held(what: str, key, make: Callable[[], object]) -> object:
     """What a Python worker keeps between tasks: ``make``'s object for ``key``. Only one operator's objects are kept, so a worker
     that goes on to another step does not hold the models of the one before."""
-    if what not in _HELD or key not in _HELD[what]:
+    _USED.add(what)
+    if what not in _HELD:
+        _drop()
+    mine = _HELD.setdefault(what, {})
+    if key not in mine:
+        mine.clear()
+        mine[key] = make()
+    return mine[key]
+
+
+def _drop() -> None:
+    """Gives the memory of what is held back to the system."""
+    if _HELD:
         _HELD.clear()
-        _HELD[what] = {key: make()}
-    return _HELD[what][key]
+        gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def parts(values: list, limit: int = 2_000_000) -> Iterator[slice]:

@@ -146,29 +146,30 @@ class Identifier:
         self.symbol = np.zeros(0x110000, np.int32)
         self.symbol[points] = np.arange(1, len(points) + 1)
         self.all, self.wide = len(points) + 1, min(len(points), DENSE) + 1
-        tables, rare, self.roots, at = [], [], [], 0
+        # an automaton of n characters has 2 n states at most; pages of the table that are never written take no memory
+        table = np.empty((max(1, 2 * sum(map(len, samples.values()))), self.wide), np.int32)
+        rare, self.roots, at = [], [], 0
         for lang in self.langs:
             model = SuffixAutomaton(samples[lang])
             states = len(model.next)
             # of a hit twice the next state; else twice the state that a new phrase starts in, and one more
-            table = np.ones((states, self.wide), np.int32)
-            table[:, 1:] += 2 * at
-            table[:, 0] += 2 * at
+            own = table[at:at + states]
+            own[:] = 2 * at + 1
             for c, to in model.next[0].items():
                 k = self.symbol[ord(c)]
                 if k < self.wide:
-                    table[:, k] = 2 * (at + to) + 1
+                    own[:, k] = 2 * (at + to) + 1
             for state, edges in enumerate(model.next):
                 for c, to in edges.items():
                     k = self.symbol[ord(c)]
                     if k < self.wide:
-                        table[state, k] = 2 * (at + to)
+                        own[state, k] = 2 * (at + to)
                     else:
                         rare.append(((at + state) * self.all + k, 2 * (at + to)))
-            tables.append(table)
             self.roots.append(at)
             at += states
-        self.table = np.concatenate(tables) if tables else np.ones((1, self.wide), np.int32)
+            del model
+        self.table = table[:at] if at else np.ones((1, self.wide), np.int32)
         self.roots = np.array(self.roots, np.int64)
         rare.sort()
         self.rare = np.array([k for k, _ in rare], np.int64)
@@ -270,7 +271,7 @@ def predict(docs: DataFrame, samples: dict[str, str], *carry: str) -> DataFrame:
 
         def one(batch: pa.RecordBatch):
             text = [t or "" for t in batch.column(0).to_pylist()]
-            for part in parts(text, 8_000_000):
+            for part in parts(text, 3_000_000):
                 langs, scores = model.identify(text[part])
                 own = [batch.column(k).slice(part.start, part.stop - part.start) for k in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
