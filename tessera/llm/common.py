@@ -117,21 +117,28 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(app)
 
 
+#: Bytes of a batch that a function of a batch gets at once, if that is more than a row.
+PIECE = 4_000_000
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with set-up once per task. ``make`` returns the function of a batch."""
+    """mapInArrow with set-up once per task. ``make`` returns the function of a batch, which gets pieces of a bounded size, so
+    what it makes of them stays small; at its end a task gives its worker's free memory back to the system."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _USED.clear()
         f = make()
         if not _USED:
             _drop()
-        for b in batches:
-            if b.num_rows:
-                out = f(b)
+        for batch in batches:
+            step = max(1, batch.num_rows * PIECE // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, step):
+                out = f(batch.slice(at, step))
                 if isinstance(out, pa.RecordBatch):
                     yield out
                 else:
                     yield from out
+        _trim()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -159,12 +166,17 @@ def _drop() -> None:
     if _HELD:
         _HELD.clear()
         gc.collect()
+        _trim()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
-def parts(values: list, limit: int = 2_000_000) -> Iterator[slice]:
+def parts(values: list, limit: int = 1_000_000) -> Iterator[slice]:
     """Slices of a batch of texts that hold about ``limit`` characters at most (one text at least), so memory stays bounded."""
     a = n = 0
     for k, v in enumerate(values):
