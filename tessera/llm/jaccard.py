@@ -17,8 +17,8 @@ BITS = 48
 COUNTED = 1 << (BITS - 2)
 #: Rounds in which each list of candidates is compared with one leader before what is left is compared in pairs.
 STAR_ROUNDS = 2
-#: A shingle counts as often met in a part of a batch from so many sets on; heavy are those with one in MOST_HEAVY postings.
-OFTEN, MOST_HEAVY = 16, 20_000
+#: A shingle counts as often met in a part of a batch from so many sets on; heavy are those with one in MOST_HEAVY of all.
+OFTEN, MOST_HEAVY = 16, 80_000
 #: Marks the places of heavy shingles, above eight bits that share them out.
 HEAVY_BIT = 1 << (BITS + 8)
 #: Longs of a set's sketch, their bits, and the bits of a hash that say where in the bitmap of wanted rows it stands.
@@ -121,12 +121,12 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, *carry: str) -> DataFr
     def make():
         def one(batch: pa.RecordBatch):
             for part, tokens, n, at in _sets_of(batch, 1, k):
-                mask, _, counted = _posted(tokens, n, at, num, den)
+                _, _, counted = _posted(tokens, n, at, num, den)
                 keys = [_key(tokens[a:a + m]) if m else 0 for a, m in zip(at.tolist(), n.tolist(), strict=True)]
                 own = [batch.column(c).slice(part.start, part.stop - part.start) for c in (0, *range(2, 2 + len(carry)))]
                 names = ["doc_id", "key", "n", "counted", *carry]
                 yield pa.RecordBatch.from_arrays([own[0], pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(counted, pa.int64()), *own[1:]], names=names)
-                token, times = np.unique(tokens[mask], return_counts=True)
+                token, times = np.unique(tokens, return_counts=True)
                 often = times >= max(OFTEN, len(n) // 100)
                 if often.any():
                     m = int(often.sum())
@@ -138,10 +138,10 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, *carry: str) -> DataFr
     return map_batches(rows, make, ", ".join(["doc_id long, key long, n long, counted long", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)]))
 
 
-def _heavy(classes: DataFrame, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, ascending, that at least one in MOST_HEAVY of all postings has, and their counts. The counts are sums of
-    parts of the postings, so there are at most MOST_HEAVY such shingles, whatever the input."""
-    total = classes.filter("n > 0").agg(F.sum(F.expr(f"greatest(counted, n - floor(({num} * n + {den - 1}) / {den}) + 1)")).alias("s")).first()["s"] or 0
+def _heavy(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, that stand for at least one in MOST_HEAVY of all sets' shingles, and their counts. The counts are
+    sums over parts of the sets, so there are at most MOST_HEAVY such shingles, whatever the input."""
+    total = classes.filter("n > 0").agg(F.sum("n").alias("s")).first()["s"] or 0
     found = classes.filter("n = -1").groupBy("key").agg(F.sum("counted").alias("c")).filter(F.col("c") * MOST_HEAVY > total).orderBy("key").collect()
     return np.array([r["key"] for r in found], np.int64), np.array([r["c"] for r in found], np.int64)
 
@@ -178,9 +178,8 @@ def _postings(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) ->
 
 
 def _prefixes(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, heavy: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """key, n, single, grp, x, end: the prefix of each class as far as other classes have the same shingles: x has (token,
-    pos) in the global order, end the place of the last one in that order. grp names the classes with the same prefix and
-    size; single is how many shingles of the class, of those that are counted, no other class has.
+    """key, n, single, x: the prefix of each class as far as other classes have the same shingles: x has (token, pos, df) in
+    the global order; single is how many shingles of the class, of those that are counted, no other class has.
 
     The global order: shingles below COUNTED that only one class has, those that more classes have by rising frequency, then
     shingles from COUNTED on. A class's prefix is what of it comes first; shingles of one class find no partner. pos never
@@ -200,20 +199,15 @@ def _prefixes(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, h
             owner, later = np.repeat(np.arange(len(key)), sizes), token >= COUNTED
             df = np.where(later, 0, df)
             order = np.lexsort((token, df, later, owner))
-            token, df, later = token[order], df[order], later[order]
+            token, df, later = token[order], df[order], later[order]  # owners stay as they are
             single = counted - np.bincount(owner[~later], minlength=len(key))
             pos = single[owner] + np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             inside = pos < prefix_length(n, num, den)[owner]
             length = np.bincount(owner[inside], minlength=len(key))
             some = length > 0
-            owner, token, df, later, pos, ends = owner[inside], token[inside], df[inside], later[inside], pos[inside], np.cumsum(length)
-            h = np.zeros(len(key), np.uint64)
-            np.add.at(h, owner, _mixed(_mixed(token.astype(np.uint64)) + pos.astype(np.uint64)))
-            grp = _mixed(h + _mixed(n.astype(np.uint64)))[some].view(np.int64)
-            last = ends[some] - 1
-            x = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends[some]]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(token), pa.array(pos)], names=["token", "pos"]))
-            end = pa.StructArray.from_arrays([pa.array(later[last]), pa.array(df[last]), pa.array(token[last])], names=["later", "df", "token"])
-            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(n[some]), pa.array(single[some]), pa.array(grp), x, end], names=["key", "n", "single", "grp", "x", "end"])
+            ends = np.concatenate([[0], np.cumsum(length)[some]])
+            x = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(c[inside]) for c in (token, pos, df)], names=["token", "pos", "df"]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(n[some]), pa.array(single[some]), x], names=["key", "n", "single", "x"])
 
         return one
 
@@ -222,7 +216,7 @@ def _prefixes(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, h
     shared = shared.filter(f"place >= {HEAVY_BIT} OR lo != hi").select("place", "key", "df").dropDuplicates(["place", "key"])
     lists = shared.groupBy("key").agg(F.collect_list(F.struct(F.expr(f"place & {(1 << BITS) - 1}").alias("token"), "df")).alias("x"))
     lists = lists.join(classes.select("key", "n", "counted").dropDuplicates(["key"]), "key").select("key", "n", "counted", "x")
-    return map_batches(lists, make, "key long, n long, single long, grp long, x array<struct<token:long,pos:long>>, end struct<later:boolean,df:long,token:long>")
+    return map_batches(lists, make, "key long, n long, single long, x array<struct<token:long,pos:long,df:long>>")
 
 
 def _as_bytes(tokens: np.ndarray) -> bytes:
@@ -287,6 +281,34 @@ def _alike(one: str, other: str, num: int, den: int) -> Column:
     return F.expr(f"{num + den} * ({apart}) <= {den - num} * (n_{one} + n_{other})")
 
 
+def _narrowed(prefixes: DataFrame, sets: DataFrame, num: int, den: int, heavy: np.ndarray) -> DataFrame:
+    """prefixes (key, n, single, grp, x, end) of the classes that may still link when all their shingles are counted, those
+    from COUNTED on as well, among the classes in question: what no other of these has comes first in the global order, so
+    positions rise and prefixes get shorter. grp names the classes with the same prefix and size, end is the place of its
+    last shingle in that order."""
+
+    def make():
+        def one(batch: pa.RecordBatch):
+            raw = batch.column(1).to_pylist()
+            tokens = _from_bytes(b"".join(raw)).astype(np.int64)
+            key = np.repeat(batch.column(0).to_numpy(), [len(x) // (BITS // 8) for x in raw])
+            some = tokens >= COUNTED
+            if len(heavy):
+                some &= heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] != tokens
+            return pa.RecordBatch.from_arrays([pa.array(tokens[some]), pa.array(key[some])], names=["token", "key"])
+
+        return one
+
+    each = map_batches(sets.select("key", "tokens"), make, "token long, key long")
+    alone = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("key").alias("key")).filter("df = 1").groupBy("key").agg(F.count(F.lit(1)).alias("more"))
+    plen = f"(n - floor(({num} * n + {den - 1}) / {den}) + 1)"
+    found = prefixes.join(alone, "key", "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    found = found.withColumn("x", F.expr(f"filter(transform(x, e -> named_struct('token', e.token, 'pos', e.pos + more, 'df', e.df)), e -> e.pos < {plen})")).filter("size(x) > 0")
+    last = F.element_at("x", -1)
+    end = F.struct((last["token"] >= COUNTED).alias("later"), last["df"].alias("df"), last["token"].alias("token"))
+    return found.select("key", "n", (F.col("single") + F.col("more")).alias("single"), F.xxhash64("n", "x.token", "x.pos").alias("grp"), "x", end.alias("end"))
+
+
 def _own_sketch(side: str) -> list[Column]:
     return [F.col(c).alias(f"{c}_{kind}_{side}") for c in _SKETCH for kind in ("all", "any")]
 
@@ -419,12 +441,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     same component_id, as repeated or null doc_ids may; null without words.
     """
     found = kept(_classes(docs.select("doc_id", "text", *carry, _row()), k, num, den, *carry, "__row"), "classes")
-    classes, heavy = found.filter("n >= 0"), _heavy(found, num, den)
+    classes, heavy = found.filter("n >= 0"), _heavy(found)
     sized = classes.filter("n > 0")
     firsts = sized.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("__row").alias("__row"))
-    prefixes = kept(_prefixes(docs, sized, k, num, den, *heavy), "prefixes")
+    first = kept(_prefixes(docs, sized, k, num, den, *heavy), "prefixes")
+    release(docs.sparkSession)
+    sets = kept(_sets(docs, firsts.join(first, "key", "left_semi"), k), "sets")
+    prefixes = kept(_narrowed(first, sets, num, den, heavy[0]), "prefixes")
+    forget(first)
     release(docs.sparkSession)
-    sets = kept(_sets(docs, firsts.join(prefixes, "key", "left_semi"), k), "sets")
     links = _links(prefixes, sets, num, den)
     forget(prefixes, sets)
     label = components(links)
