@@ -121,7 +121,7 @@ def ship(spark: SparkSession) -> None:
 PIECE = 4_000_000
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator]], schema: T.StructType | str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator]], schema: T.StructType | str, piece: int = PIECE) -> DataFrame:
     """mapInArrow with set-up once per task. ``make`` returns the function of a batch, which gets pieces of a bounded size, so
     what it makes of them stays small; at its end a task gives its worker's free memory back to the system."""
 
@@ -131,7 +131,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
         if not _USED:
             _drop()
         for batch in batches:
-            step = max(1, batch.num_rows * PIECE // max(batch.nbytes, 1))
+            step = max(1, batch.num_rows * piece // max(batch.nbytes, 1))
             for at in range(0, batch.num_rows, step):
                 out = f(batch.slice(at, step))
                 if isinstance(out, pa.RecordBatch):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held, held_out, map_batches, parts
+from .common import PIECE, documents, held, held_out, map_batches, parts
 
 #: Characters of labelled text per language that a model is built from: a bounded sample, the rows of lowest hash.
 SAMPLE_CHARS = 120_000
@@ -18,7 +18,7 @@ SAMPLE_ROWS, ROW_CHARS = 400, 2_000
 UNKNOWN = "und"
 #: Characters, the commonest of the models' texts, whose transitions stand in a table by state; others' are looked up.
 DENSE = 96
-#: Texts that are parsed side by side until so few of them are left; these go on one by one.
+#: Texts are parsed side by side until so few of them are left; these go on one by one.
 SIDE_BY_SIDE = 12
 
 
@@ -271,7 +271,7 @@ def predict(docs: DataFrame, samples: dict[str, str], *carry: str) -> DataFrame:
 
         def one(batch: pa.RecordBatch):
             text = [t or "" for t in batch.column(0).to_pylist()]
-            for part in parts(text, 3_000_000):
+            for part in parts(text, 8_000_000):
                 langs, scores = model.identify(text[part])
                 own = [batch.column(k).slice(part.start, part.stop - part.start) for k in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
@@ -280,7 +280,7 @@ def predict(docs: DataFrame, samples: dict[str, str], *carry: str) -> DataFrame:
 
     names = ["doc_id", *carry]
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
-    return map_batches(docs.select("text", *names), make, schema)
+    return map_batches(docs.select("text", *names), make, schema, 4 * PIECE)
 
 
 def train(docs: DataFrame) -> dict[str, str]:
