@@ -136,54 +136,64 @@ def purified(samples: dict[str, str]) -> dict[str, str]:
 
 
 class Identifier:
-    """Models of all languages, and the cross parsing of whole texts by all of them at once."""
+    """Models of all languages, and the cross parsing of whole texts by all of them at once.
+
+    Most states of an automaton have one transition, which two numbers hold; the others have a row of a table. Transitions
+    are twice the next state on a hit, else twice the state that a new phrase starts in, and one more.
+    """
 
     def __init__(self, samples: dict[str, str]):
         self.langs, self.kinds = sorted(samples), _kinds()
         points, counts = np.unique(np.frombuffer("".join(samples.values()).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
         points = points[np.argsort(-counts, kind="stable")]
         #: 0 stands for characters that no model's text has; 1 to wide for those in the table; others follow
-        self.symbol = np.zeros(0x110000, np.int32)
-        self.symbol[points] = np.arange(1, len(points) + 1)
         self.all, self.wide = len(points) + 1, min(len(points), DENSE) + 1
-        # an automaton of n characters has 2 n states at most; pages of the table that are never written take no memory
-        table = np.empty((max(1, 2 * sum(map(len, samples.values()))), self.wide), np.int32)
-        rare, self.roots, at = [], [], 0
+        self.symbol = np.zeros(0x110000, np.min_scalar_type(self.all))
+        self.symbol[points] = np.arange(1, len(points) + 1)
+        # an automaton of n characters has 2 n states at most; what is never written of these takes no memory
+        most = max(1, 2 * sum(map(len, samples.values())))
+        table, row = np.empty((most, self.wide), np.int32), np.empty(most, np.int32)
+        only, to_only = np.empty(most, np.int32), np.empty(most, np.int32)
+        rare, roots, at, rows = [], [], 0, 0
         for lang in self.langs:
-            model = SuffixAutomaton(samples[lang])
-            states = len(model.next)
-            # of a hit twice the next state; else twice the state that a new phrase starts in, and one more
-            own = table[at:at + states]
-            own[:] = 2 * at + 1
-            for c, to in model.next[0].items():
-                k = self.symbol[ord(c)]
-                if k < self.wide:
-                    own[:, k] = 2 * (at + to) + 1
-            for state, edges in enumerate(model.next):
-                for c, to in edges.items():
-                    k = self.symbol[ord(c)]
-                    if k < self.wide:
-                        own[state, k] = 2 * (at + to)
-                    else:
-                        rare.append(((at + state) * self.all + k, 2 * (at + to)))
-            self.roots.append(at)
-            at += states
-            del model
-        self.table = table[:at] if at else np.ones((1, self.wide), np.int32)
-        self.roots = np.array(self.roots, np.int64)
+            edges_of = SuffixAutomaton(samples[lang]).next
+            miss = rows
+            table[miss] = 2 * at + 1
+            for c, to in edges_of[0].items():
+                if (k := int(self.symbol[ord(c)])) < self.wide:
+                    table[miss, k] = 2 * (at + to) + 1
+            rows += 1
+            for state, edges in enumerate(edges_of):
+                row[at + state], only[at + state], to_only[at + state] = miss, -1, 0
+                if len(edges) == 1:
+                    (c, to), = edges.items()
+                    only[at + state], to_only[at + state] = self.symbol[ord(c)], 2 * (at + to)
+                elif edges:
+                    table[rows], row[at + state] = table[miss], rows
+                    for c, to in edges.items():
+                        if (k := int(self.symbol[ord(c)])) < self.wide:
+                            table[rows, k] = 2 * (at + to)
+                        else:
+                            rare.append(((at + state) * self.all + k, 2 * (at + to)))
+                    rows += 1
+            roots.append(at)
+            at += len(edges_of)
+            del edges_of
+        self.table, self.row, self.only, self.to_only = table[:rows], row[:at], only[:at], to_only[:at]
+        self.roots = np.array(roots, np.int64)
         rare.sort()
         self.rare = np.array([k for k, _ in rare], np.int64)
         self.rare_to = np.array([t for _, t in rare], np.int32)
 
     def _step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Next states of (models, texts), doubled, odd where a phrase starts anew."""
-        v = self.table[state, np.minimum(c, self.wide - 1)]
+        v = self.table[self.row[state], np.minimum(c, self.wide - 1)]
         far = np.flatnonzero(c >= self.wide)
         if len(far):
             for m, root in enumerate(self.roots):
                 found = [self._rare(s * self.all + c[far]) for s in (state[m, far], root)]
                 v[m, far] = np.where(found[0] >= 0, found[0], np.where(found[1] >= 0, found[1] + 1, 2 * root + 1))
-        return v
+        return np.where(self.only[state] == c, self.to_only[state], v)
 
     def _rare(self, key: np.ndarray) -> np.ndarray:
         if not len(self.rare):
@@ -192,11 +202,11 @@ class Identifier:
         return np.where(self.rare[at] == key, self.rare_to[at], -1)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """(models, texts): phrases of each text's cross parsing by each model. Texts are parsed side by side, a character of
+        """(models, texts): phrases of each text's cross parsing by each model. Texts, as symbols, are parsed side by side, a character of
         each at a time, the longest first in line, so those that are done drop off the end."""
         sizes = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-sizes, kind="stable")
-        codes = self.symbol[np.concatenate([texts[i] for i in order])] if len(order) and sizes.sum() else np.zeros(0, np.int32)
+        codes = np.concatenate([texts[i] for i in order]) if len(order) else np.zeros(0, self.symbol.dtype)
         sizes = sizes[order]
         start = np.cumsum(sizes) - sizes
         roots = self.roots[:, None]
@@ -206,20 +216,20 @@ class Identifier:
         t = 0
         while t < len(left) and left[t] > SIDE_BY_SIDE:
             m = left[t]
-            v = self._step(state[:, :m], codes[start[:m] + t])
+            v = self._step(state[:, :m], codes[start[:m] + t].astype(np.int32))
             new = (v >> 1).astype(np.int64)
             # what ends here: the phrase so far, if there is one, and a character that is a phrase of its own
             count[:, :m] += (v & 1) * ((state[:, :m] != roots).astype(np.int64) + (new == roots))
             state[:, :m] = new
             t += 1
         if t < len(left):
-            flat, wide = memoryview(self.table.reshape(-1)), self.wide
+            flat, wide, row, only, to_only = memoryview(self.table.reshape(-1)), self.wide, *map(memoryview, (self.row, self.only, self.to_only))
             for i in range(left[t]):
                 rest = codes[start[i] + t:start[i] + sizes[i]].tolist()
                 for m, root in enumerate(self.roots.tolist()):
                     s, n = int(state[m, i]), 0
                     for c in rest:
-                        v = flat[s * wide + c] if c < wide else self._rare_one(s, c, root)
+                        v = to_only[s] if only[s] == c else flat[row[s] * wide + c] if c < wide else self._rare_one(s, c, root)
                         new = v >> 1
                         if v & 1:
                             n += (s != root) + (new == root)
@@ -241,7 +251,7 @@ class Identifier:
         """Languages and scores of whole texts. A score says how much fewer phrases the winner needs per character than the
         runner-up, mapped to 0.5 to 1 by a logistic curve; 0 where there is nothing to parse or no model. Ties go to the first
         language by name."""
-        parsed = [letters(t, self.kinds) if t else np.empty(0, np.uint32) for t in texts]
+        parsed = [self.symbol[letters(t, self.kinds)] if t else self.symbol[:0] for t in texts]
         sizes = np.array([len(x) for x in parsed])
         langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
         some = np.flatnonzero(sizes > 0) if self.langs else []

@@ -542,7 +542,7 @@ def test_cross_parsing_of_whole_texts(monkeypatch, dense, side):
     texts = [make(rng.choice(["abcde", "bcdefé", "ñoß日本", "ABCxyz 1!é日"]), rng.randrange(0, 60)) for _ in range(120)] + ["", "1 2", "a", "Z", "İ x", "a\n\n-  b", "word " * 3000, make("abcdefé", 3000)]
     assert [langid.clean(t, kinds) for t in texts[-6:-2]] == ["a ", "z ", "i x ", "a b "]
     parsed = [langid.letters(t, kinds) for t in texts]
-    counts = model.phrases(parsed)
+    counts = model.phrases([model.symbol[p] for p in parsed])
     for m, lang in enumerate(model.langs):
         slow = langid.SuffixAutomaton(samples[lang])
         assert counts[m].tolist() == [slow.phrases((" " + langid.clean(t, kinds)) if len(p) else "") for t, p in zip(texts, parsed)]
