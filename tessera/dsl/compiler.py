@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..errors import TypeMismatch, need
 from ..functions.exprs import cast_to, half_away_round, ieee_div, is_numeric, plain_double
 from ..operators.frame import Frame
+from ..operators.ordered import HIDDEN
 from ..plans.predicate import Leaf
 from .json_parser import parse_json
 from .ops import Binary, Const, Name, Operation
@@ -28,7 +29,7 @@ def run_json(frame: Frame, text: str) -> Frame:
 def compile_operations(frame: Frame, operations: Sequence[Operation]) -> Frame:
     """The frame after all operations. Nothing runs here, so the optimizer sees the chain as a whole."""
     group = None
-    for op in operations:
+    for k, op in enumerate(operations):
         a = op.args
         if op.verb == "groupby":
             group = frame.group_by(*a)
@@ -39,7 +40,9 @@ def compile_operations(frame: Frame, operations: Sequence[Operation]) -> Frame:
         elif op.verb == "sort":
             frame = frame.sort(*[c for c, _ in a], ascending=[up for _, up in a])
         elif op.verb == "select":
-            frame = frame.select(*a)
+            later = {o.verb for o in operations[k + 1:]}
+            place = [c for c in frame.order if c in HIDDEN and c not in a] if "tail" in later and "groupby" not in later else []
+            frame = frame.select(*a, *place)  # where the last rows are asked for, the order goes along
         elif op.verb == "drop":
             need(frame.columns, *a)
             frame = frame.drop(*a)

@@ -28,7 +28,7 @@ class Frame:
 
     def __init__(self, df: DataFrame, order: Sequence[str] = (), index: str | None = None):
         self.df, self.index = df, index
-        self.order = tuple(c for c in order if c in df.columns)
+        self.order = tuple(order) if set(order) <= set(df.columns) else ()
 
     def _with(self, df: DataFrame, order: Sequence[str] | None = None) -> Frame:
         return type(self)(df, self.order if order is None else order, self.index if self.index in df.columns else None)
@@ -64,6 +64,11 @@ class Frame:
     def columns(self) -> list[str]:
         return self.df.columns
 
+    @property
+    def data_columns(self) -> list[str]:
+        """The columns without those that only say where a row stands or what it is called."""
+        return [c for c in self.columns if c not in ordered.HIDDEN]
+
     @property
     def dtypes(self) -> dict[str, str]:
         return dict(self.df.dtypes)
@@ -93,7 +98,7 @@ class Frame:
 
     def select(self, *names: str) -> Frame:
         need(self.columns, *names)
-        return self._with(self.df.select(*[f"`{n}`" for n in names]))
+        return self._with(self.df.select(*[ordered.name(n) for n in names]))
 
     def drop(self, *names: str) -> Frame:
         """Without the named columns; names that are no columns are passed over."""
@@ -101,21 +106,22 @@ class Frame:
 
     def rename(self, names: Mapping[str, str]) -> Frame:
         need(self.columns, *names)
-        return self._with(self.df.withColumnsRenamed(dict(names)), [names.get(c, c) for c in self.order])
+        return self._with(self.df.withColumnsRenamed(dict(names)), [type(c)(names.get(c, c)) for c in self.order])
 
     def with_column(self, name: str, value: Column | Series | Any) -> Frame:
-        """The frame with a column set or added: an expression, a series of this frame, or a constant."""
+        """The frame with a column set or added: an expression, a series of this frame, or a constant. Changing a key of the
+        row order ends that order; rows that are sorted stay so."""
         if isinstance(value, Series):
             if value.frame.df is not self.df:
                 raise LengthMismatch("the series belongs to another frame; join on a key instead")
             value = value.expr
-        return self._with(self.df.withColumn(name, value if isinstance(value, Column) else F.lit(value)))
+        return self._with(self.df.withColumn(name, value if isinstance(value, Column) else F.lit(value)), () if name in self.order else None)
 
     def apply(self, f: Callable[[Column], Column], columns: Sequence[str] | None = None) -> Frame:
         """f, from Column to Column, on every numeric column or those named."""
         names = numeric_columns(self.df) if columns is None else columns
         need(self.columns, *names)
-        return self._with(self.df.withColumns({n: f(F.col(f"`{n}`")) for n in names}))
+        return self._with(self.df.withColumns({n: f(F.col(f"`{n}`")) for n in names}), () if set(names) & set(self.order) else None)
 
     # rows
 
@@ -128,7 +134,7 @@ class Frame:
         return self._with(self.df.filter(condition))
 
     def head(self, n: int = 5) -> Frame:
-        d = self.df.orderBy(*[F.col(c).asc_nulls_last() for c in self.order]) if self.order and not self._sorted() else self.df
+        d = self.df.orderBy(*ordered.ordering(self.order)) if self.order and not self._sorted() else self.df
         return self._with(d.limit(max(0, n)))
 
     def _sorted(self) -> bool:
@@ -136,8 +142,8 @@ class Frame:
 
     def tail(self, n: int = 5) -> Frame:
         """The last n rows by the frame's order; two top-n steps, no full sort."""
-        last = self.df.orderBy(*[F.col(c).desc_nulls_first() for c in self._need_order()]).limit(max(0, n))
-        return self._with(last.orderBy(*[F.col(c).asc_nulls_last() for c in self.order]))
+        last = self.df.orderBy(*ordered.ordering(self._need_order(), backwards=True)).limit(max(0, n))
+        return self._with(last.orderBy(*ordered.ordering(self.order)))
 
     def _need_order(self) -> list[str]:
         if not self.order:
@@ -185,25 +191,29 @@ class Frame:
         return type(self)(first.join(F.broadcast(wanted), F.col(self.index) == F.col("__label")).drop("__label"), ["__k"], self.index)
 
     def __iter__(self) -> Iterator[dict[str, Any]]:
-        d = self.df.orderBy(*self.order) if self.order else self.df
+        d = self.df.orderBy(*ordered.ordering(self.order)) if self.order and not self._sorted() else self.df
         return (r.asDict() for r in d.toLocalIterator())
 
     def equals(self, other: Frame) -> bool:
-        """The same columns with the same rows, in whatever order."""
-        if self.df.dtypes != other.df.dtypes:
+        """The same columns with the same rows: in the same order where both have one, else in whatever order."""
+        a, b = (f.with_position() if self.order and other.order else f for f in (self, other))
+        place = [ordered.POSITION] if self.order and other.order else []
+        a, b = (f.df.select(*[ordered.name(c) for c in [*f.data_columns, *place]]) for f in (a, b))
+        if a.dtypes != b.dtypes:
             return False
-        return self.df.exceptAll(other.df).isEmpty() and other.df.exceptAll(self.df).isEmpty()
+        return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
     # order
 
     def sort(self, *by: str, ascending: bool | Sequence[bool] = True) -> Frame:
-        """Sorted rows, missing values last either way."""
+        """Sorted rows, missing values last either way. The keys are the order from then on; ties keep the order before."""
         need(self.columns, *by)
         flags = [ascending] * len(by) if isinstance(ascending, bool) else list(ascending)
         if len(flags) != len(by):
             raise LengthMismatch("as many directions as columns are needed")
-        keys = [F.col(f"`{c}`").asc_nulls_last() if up else F.col(f"`{c}`").desc_nulls_last() for c, up in zip(by, flags, strict=True)]
-        return self._with(self.df.orderBy(*keys), [])
+        keys = [c if up else ordered.Desc(c) for c, up in zip(by, flags, strict=True)]
+        keys += [c for c in self.order if c not in keys]
+        return self._with(self.df.orderBy(*ordered.ordering(keys)), keys)
 
     def top_k(self, k: int, *by: str, ascending: bool = False) -> Frame:
         return self.sort(*by, ascending=ascending).head(k)
@@ -212,7 +222,7 @@ class Frame:
         return self._with(ordered.cumsum(self.df, column, self._need_order(), out or column, kind))
 
     def duplicated(self, subset: Sequence[str] | None = None, out: str = "duplicated") -> Frame:
-        return self._with(ordered.duplicated(self.df, list(subset or self.columns), self._need_order(), out))
+        return self._with(ordered.duplicated(self.df, list(subset or self.data_columns), self._need_order(), out))
 
     def drop_duplicates(self, subset: Sequence[str] | None = None) -> Frame:
         return self._with(ordered.drop_duplicates(self.df, list(subset or self.columns), self._need_order()))

@@ -14,22 +14,50 @@ from pyspark.sql import types as T
 from ..errors import need
 
 POSITION = "__pos__"
+#: A row's place in the files it was read from: file, start of the block, number in the block.
+PLACE = "__at__"
+#: Columns that say where a row stands or what it is called; no part of the data.
+HIDDEN = (POSITION, PLACE, "__idx__", "__k")
 BUCKETS = 64
 
 
-def _asc(keys: list[str]) -> list[Column]:
-    return [F.col(k).asc_nulls_last() for k in keys]
+class Desc(str):
+    """The name of an order key whose largest value comes first."""
+
+
+def name(column: str) -> str:
+    """A column name quoted, as it may hold points."""
+    return f"`{column.replace('`', '``')}`"
+
+
+def ordering(keys: list[str], backwards: bool = False) -> list[Column]:
+    """Order by keys, missing values last either way; ``backwards`` the exact reverse."""
+    out = []
+    for k in keys:
+        down = isinstance(k, Desc)
+        c = F.col(name(k))
+        out.append((c.asc_nulls_first() if down else c.desc_nulls_first()) if backwards else c.desc_nulls_last() if down else c.asc_nulls_last())
+    return out
+
+
+def _placed(df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
+    """df and ascending order keys: with a key that goes down, positions."""
+    return (with_position(df, order, "__place"), ["__place"]) if any(isinstance(k, Desc) for k in order) else (df, order)
 
 
 def _bucket(df: DataFrame, key: str, buckets: int) -> Column:
-    """The number of a row's range of the key; ranges are in order, nulls come last."""
+    """The number of a row's range of the key; ranges are in order, nulls come last. Rows of files: the block."""
     kind = df.schema[key].dataType
+    if key == PLACE:
+        return F.struct(F.col(PLACE)["file"], F.col(PLACE)["start"])
     if buckets < 2 or not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)) or isinstance(kind, T.DecimalType):
         return F.lit(0)
     steps = [k / buckets for k in range(1, buckets)]
-    found = df.agg(F.percentile_approx(key, steps, 1000)).first()[0] or []
+    c = F.col(name(key))
+    found = df.agg(F.percentile_approx(c, steps, 1000)).first()[0] or []
     bounds = sorted(set(x for x in found if x == x))
-    return F.when(F.col(key).isNull(), len(bounds) + 1).otherwise(sum((F.when(F.col(key) > F.lit(b).cast(kind), 1).otherwise(0) for b in bounds), F.lit(0)))
+    above = sum((F.when(c > F.lit(b).cast(kind), 1).otherwise(0) for b in bounds), F.lit(0))
+    return F.when(c.isNull(), len(bounds) + 1).otherwise(len(bounds) - above if isinstance(key, Desc) else above)
 
 
 def _accumulated(df: DataFrame, order: list[str], inside: Column, total: Column, out: str, buckets: int) -> DataFrame:
@@ -37,33 +65,35 @@ def _accumulated(df: DataFrame, order: list[str], inside: Column, total: Column,
     d = df.withColumn("__bucket", _bucket(df, order[0], buckets))
     sums = d.groupBy("__bucket").agg(total.alias("__total"))
     before = F.coalesce(F.sum("__total").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = F.broadcast(sums.select("__bucket", before.alias("__before")))  # BUCKETS + 1 rows at most
+    sums = sums.select("__bucket", before.alias("__before"))
+    if order[0] != PLACE:
+        sums = F.broadcast(sums)  # BUCKETS + 1 rows at most
     return d.withColumn("__inside", inside).join(sums, "__bucket").withColumn(out, F.col("__before") + F.col("__inside")).drop("__bucket", "__before", "__inside")
 
 
-def with_position(df: DataFrame, order: list[str], name: str = POSITION, buckets: int = BUCKETS) -> DataFrame:
+def with_position(df: DataFrame, order: list[str], out: str = POSITION, buckets: int = BUCKETS) -> DataFrame:
     """df with positions from 0 by ``order``."""
-    w = Window.partitionBy("__bucket").orderBy(*_asc(order))
-    return _accumulated(df, order, F.row_number().over(w) - 1, F.count(F.lit(1)), name, buckets).withColumn(name, F.col(name).cast("bigint"))
+    w = Window.partitionBy("__bucket").orderBy(*ordering(order))
+    return _accumulated(df, order, F.row_number().over(w) - 1, F.count(F.lit(1)), out, buckets).withColumn(out, F.col(out).cast("bigint"))
 
 
 def cumsum(df: DataFrame, value: str, order: list[str], out: str, kind: str = "double", buckets: int = BUCKETS) -> DataFrame:
     """df with the running sum of ``value``: null where the value is null, which adds nothing. ``kind`` is the type summed
     in; a decimal makes the result independent of the order of additions."""
     need(df.columns, value)
-    w = Window.partitionBy("__bucket").orderBy(*_asc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = F.col(value).cast(kind)
-    summed = _accumulated(df, order, F.coalesce(F.sum(x).over(w), F.lit(0).cast(kind)), F.coalesce(F.sum(x), F.lit(0).cast(kind)), out, buckets)
-    return summed.withColumn(out, F.when(F.col(value).isNotNull(), F.col(out).cast("double")))
+    w = Window.partitionBy("__bucket").orderBy(*ordering(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = F.col(name(value)).cast(kind)
+    summed = _accumulated(df, order, F.coalesce(F.sum(x).over(w), F.lit(0).cast(kind)), F.coalesce(F.sum(x), F.lit(0).cast(kind)), "__sum", buckets)
+    return summed.withColumn(out, F.when(F.col(name(value)).isNotNull(), F.col("__sum").cast("double"))).drop("__sum")
 
 
 def duplicated(df: DataFrame, subset: list[str], order: list[str], out: str = "duplicated", nulls_equal: bool = True) -> DataFrame:
     """df with a flag: an earlier row has the same values in ``subset``. With nulls_equal=False (a single column's rule) a
     missing value never is a duplicate."""
     need(df.columns, *subset, *order)
-    seen = F.row_number().over(Window.partitionBy(*subset).orderBy(*_asc(order))) > 1
+    seen = F.row_number().over(Window.partitionBy(*map(name, subset)).orderBy(*ordering(order))) > 1
     for c in [] if nulls_equal else subset:
-        seen = seen & F.col(c).isNotNull()
+        seen = seen & F.col(name(c)).isNotNull()
     return df.withColumn(out, seen)
 
 
@@ -74,24 +104,30 @@ def drop_duplicates(df: DataFrame, subset: list[str], order: list[str], nulls_eq
     if not nulls_equal:
         missing = F.lit(False)
         for c in subset:
-            missing = missing | F.col(c).isNull()
+            missing = missing | F.col(name(c)).isNull()
         return drop_duplicates(df.filter(~missing), subset, order).unionByName(df.filter(missing))
-    place = F.struct(*[F.col(c).isNull().alias(f"n{k}") if j == 0 else F.col(c).alias(f"v{k}") for k, c in enumerate(order) for j in (0, 1)])
-    first = df.groupBy(*subset).agg(F.min_by(F.struct(*df.columns), place).alias("__row"))
-    return first.select("__row.*").select(*df.columns)
+    columns = [name(c) for c in df.columns]
+    df, order = _placed(df, order)
+    place = F.struct(*[F.col(name(c)).isNull().alias(f"n{k}") if j == 0 else F.col(name(c)).alias(f"v{k}") for k, c in enumerate(order) for j in (0, 1)])
+    first = df.groupBy(*map(name, subset)).agg(F.min_by(F.struct(*columns), place).alias("__row"))
+    return first.select("__row.*").select(*columns)
 
 
 def factorize(df: DataFrame, value: str, order: list[str], out: str = "code") -> DataFrame:
     """df with codes 0, 1, ... of the values by first appearance; -1 for null."""
     need(df.columns, value, *order)
-    place = F.struct(*[F.col(c) for c in order])
-    firsts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(place).alias("__first"))
-    coded = firsts.select(F.col(value).alias("__value"), (F.row_number().over(Window.orderBy("__first")) - 1).alias(out))
-    return df.join(coded, F.col(value) == F.col("__value"), "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1))).drop("__value")
+    df, order = _placed(df, order)
+    place = F.struct(*[F.col(name(c)) for c in order])
+    v = F.col(name(value))
+    firsts = df.filter(v.isNotNull()).groupBy(v.alias("__value")).agg(F.min(place).alias("__first"))
+    coded = firsts.select("__value", (F.row_number().over(Window.orderBy("__first")) - 1).alias(out))
+    return df.drop("__place").join(coded, v == F.col("__value"), "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1))).drop("__value")
 
 
 def argsort(df: DataFrame, value: str, order: list[str], ascending: bool = True) -> DataFrame:
-    """rank, position: for each rank by value the position of its row by ``order``; nulls last, ties by position."""
-    placed = with_position(df.select(*dict.fromkeys([value, *order])), order)
-    key = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
-    return placed.select((F.row_number().over(Window.orderBy(key, POSITION)) - 1).alias("rank"), F.col(POSITION).alias("position"))
+    """rank, position: for each rank by value the position of its row by ``order``; nulls last, ties by position. Both are
+    found per range, so no task sorts all rows."""
+    columns = list(dict.fromkeys([value, *order]))
+    placed = with_position(df.select(*map(name, columns)), order)
+    ranked = with_position(placed, [value if ascending else Desc(value), POSITION], "rank")
+    return ranked.select("rank", F.col(POSITION).alias("position"))

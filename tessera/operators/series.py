@@ -30,7 +30,7 @@ class Series:
     @property
     def df(self) -> DataFrame:
         """The values as ``value``, with the frame's order columns."""
-        return self.frame.df.select(self.expr.alias("value"), *[F.col(c).alias(f"__o{k}") for k, c in enumerate(self.frame.order)])
+        return self.frame.df.select(self.expr.alias("value"), *[F.col(ordered.name(c)).alias(f"__o{k}") for k, c in enumerate(self.frame.order)])
 
     @property
     def kind(self) -> T.DataType:
@@ -40,7 +40,7 @@ class Series:
     def order(self) -> list[str]:
         if not self.frame.order:
             raise TypeMismatch("this needs a row order: Frame(df, order=[...])")
-        return [f"__o{k}" for k in range(len(self.frame.order))]
+        return [ordered.Desc(f"__o{k}") if isinstance(c, ordered.Desc) else f"__o{k}" for k, c in enumerate(self.frame.order)]
 
     # arithmetic, in doubles
 
@@ -211,10 +211,10 @@ class Series:
         return ordered.factorize(self.df, "value", self.order)
 
     def head(self, n: int = 5) -> list:
-        return [r["value"] for r in self.df.orderBy(*self.order).limit(n).collect()]
+        return [r["value"] for r in self.df.orderBy(*ordered.ordering(self.order)).limit(n).collect()]
 
     def tail(self, n: int = 5) -> list:
-        return [r["value"] for r in self.df.orderBy(*[F.desc(c) for c in self.order]).limit(n).collect()][::-1]
+        return [r["value"] for r in self.df.orderBy(*ordered.ordering(self.order, backwards=True)).limit(n).collect()][::-1]
 
     def iloc(self, at: int | slice) -> Any:
         placed = ordered.with_position(self.df, self.order)
@@ -247,5 +247,5 @@ class Series:
         return n == some
 
     def collect(self) -> list:
-        d = self.df.orderBy(*self.order) if self.frame.order else self.df
+        d = self.df.orderBy(*ordered.ordering(self.order)) if self.frame.order else self.df
         return [r["value"] for r in d.collect()]

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..errors import FileProblem
 from ..functions.exprs import csv_text
+from ..operators.ordered import HIDDEN, PLACE, name, ordering
 
 if TYPE_CHECKING:
     from ..operators.frame import Frame
@@ -27,19 +28,31 @@ NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|Inf|INF|infinity|Infin
 
 @dataclass
 class CSVReader:
-    """separator, whether the first line names the columns (else col_0, col_1, ...), and the fields that mean missing."""
+    """separator, whether the first line names the columns (else col_0, col_1, ...), the fields that mean missing, and whether
+    quoted fields may hold line ends: such a file is read by one task. None: looked up in a first pass, as a field that runs
+    over a line end leaves that line with an odd number of quotes."""
 
     separator: str = ","
     header: bool = True
     na_values: Sequence[str] = NA_VALUES
+    multi_line: bool | None = None
 
-    def _options(self, reader: Any) -> Any:
-        # quoted fields may hold line ends; empty fields, quoted or not, arrive as empty text and are judged below
-        return reader.option("sep", self.separator).option("header", self.header).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("emptyValue", "").option("nullValue", "").option("inferSchema", False)
+    def _options(self, reader: Any, multi_line: bool) -> Any:
+        # empty fields, quoted or not, arrive as empty text and are judged below
+        return reader.option("sep", self.separator).option("header", self.header).option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("emptyValue", "").option("nullValue", "").option("inferSchema", False)
 
     def read(self, spark: SparkSession, path: str) -> Frame:
+        """From files in any file system Spark reads. Rows are in the order of the files and of their lines, by the column
+        PLACE, which is worked out only where an order is needed."""
         try:
-            return self.typed(self._named(self._options(spark.read).csv(path)))
+            many = self.multi_line
+            if many is None:
+                many = not spark.read.text(path).filter("(length(value) - length(replace(value, '\"', ''))) % 2 = 1").isEmpty()
+            raw = self._options(spark.read, many).csv(path)
+            place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+            names = raw.columns if self.header else [f"col_{k}" for k in range(len(raw.columns))]
+            placed = raw.select(*[F.col(name(c)).alias(n) for c, n in zip(raw.columns, names, strict=True)], place.alias(PLACE))
+            return self.typed(placed, [PLACE])
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 raise FileProblem(f"no file {path}") from e
@@ -58,10 +71,7 @@ class CSVReader:
         d = self.typed(spark.createDataFrame(rows, schema)).df
         return Frame(d, ["__pos__"])
 
-    def _named(self, df: DataFrame) -> DataFrame:
-        return df if self.header else df.toDF(*[f"col_{k}" for k in range(len(df.columns))])
-
-    def typed(self, df: DataFrame) -> Frame:
+    def typed(self, df: DataFrame, order: Sequence[str] = ()) -> Frame:
         """Text columns with missing values made null, and those that hold numbers only as doubles: one pass over all
         columns decides. A column of nothing but missing values is a column of doubles."""
         from ..operators.frame import Frame
@@ -70,10 +80,10 @@ class CSVReader:
         na = list(self.na_values)
         known = {n: F.when(~F.col(f"`{n}`").isin(na), F.col(f"`{n}`")) for n in names}
         if not names:
-            return Frame(df)
+            return Frame(df, order)
         row = df.agg(*[F.coalesce(F.bool_and(F.coalesce(c.rlike(NUMBER), F.lit(True))), F.lit(True)).alias(f"_{k}") for k, c in enumerate(known.values())]).first()
         cols = {n: F.trim(c).try_cast("double") if row[k] else c for k, (n, c) in enumerate(known.items())}
-        return Frame(df.select(*[cols[n].alias(n) if n in cols else F.col(f"`{n}`") for n in df.columns]))
+        return Frame(df.select(*[cols[n].alias(n) if n in cols else F.col(f"`{n}`") for n in df.columns]), order)
 
 
 def read_csv(spark: SparkSession, path: str, separator: str = ",", header: bool = True, na_values: Sequence[str] = NA_VALUES) -> Frame:
@@ -98,26 +108,31 @@ def to_csv(frame: Frame, path: str | None = None, separator: str = ",", header:
     they must be. index: a first column, without a name, of labels (or row numbers). With distributed=True ``path`` becomes
     a folder of part files, written by the executors; else rows stream through the driver."""
     order = [c for c in frame.order]
-    hidden = [c for c in frame.columns if c in ("__pos__", "__idx__", "__k")]
-    df = frame.df.orderBy(*order) if order and not frame._sorted() else frame.df
+    hidden = [c for c in frame.columns if c in HIDDEN]
+    df = frame.df.orderBy(*ordering(order)) if order and not frame._sorted() else frame.df
     shown = [c for c in df.columns if c not in hidden]
     if distributed:
         df.select(*[F.coalesce(c, F.lit(na)).alias(n) for c, n in zip(_texts(df.select(*shown)), shown, strict=True)]).write.option("sep", separator).option("header", header).option("quote", '"').option("escape", '"').option("emptyValue", na).csv(path)
         return None
-    out = io.StringIO()
-    writer = _csv.writer(out, delimiter=separator, lineterminator="\n", quoting=_csv.QUOTE_MINIMAL)
     labels = index and "__idx__" in df.columns
-    if header:
-        writer.writerow([*([""] if index else []), *shown])
     kinds = [df.schema[c].dataType for c in shown]
-    for k, r in enumerate(df.select(*[f"`{c}`" for c in [*shown, *(["__idx__"] if labels else [])]]).toLocalIterator()):
-        writer.writerow([*([r["__idx__"] if labels else k] if index else []), *(_field(r[j], kind, na) for j, kind in enumerate(kinds))])
+    rows = df.select(*[f"`{c}`" for c in [*shown, *(["__idx__"] if labels else [])]])
+
+    def write(out: Any) -> None:
+        writer = _csv.writer(out, delimiter=separator, lineterminator="\n", quoting=_csv.QUOTE_MINIMAL)
+        if header:
+            writer.writerow([*([""] if index else []), *shown])
+        for k, r in enumerate(rows.toLocalIterator()):
+            writer.writerow([*([r["__idx__"] if labels else k] if index else []), *(_field(r[j], kind, na) for j, kind in enumerate(kinds))])
+
     if path is None:
+        out = io.StringIO()
+        write(out)
         return out.getvalue()
     try:
         os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
         with open(path, "w", encoding="utf-8", newline="") as f:
-            f.write(out.getvalue())
+            write(f)
     except OSError as e:
         raise FileProblem(str(e)) from e
     return None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import FileProblem, InvalidJSON
+from ..operators.ordered import HIDDEN, PLACE, ordering
 
 if TYPE_CHECKING:
     from ..operators.frame import Frame
@@ -20,20 +21,21 @@ def read_json(spark: SparkSession, path: str) -> Frame:
     from ..operators.frame import Frame
 
     try:
-        raw = spark.read.text(path, wholetext=True)
+        raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileProblem(f"no file {path}") from e
         raise
-    maps = raw.select(F.from_json("value", "array<map<string,string>>", {"mode": "PERMISSIVE"}).alias("x"), "value")
+    maps = raw.select(F.from_json("value", "array<map<string,string>>", {"mode": "PERMISSIVE"}).alias("x"), "value", "file")
     bad = maps.filter(F.col("x").isNull() | ~F.col("value").rlike(r"(?s)^\s*\["))
     if not bad.isEmpty():
         raise InvalidJSON("an array of objects is needed")
-    records = maps.select(F.explode("x").alias("x"))
+    records = maps.select("file", F.posexplode("x").alias("row", "x"))
     keys = sorted(r[0] for r in records.select(F.explode(F.map_keys("x"))).distinct().collect())  # column names
-    flat = records.select(*[F.try_element_at("x", F.lit(k)).alias(k) for k in keys])
+    place = F.struct("file", F.lit(0).cast("long").alias("start"), F.col("row").cast("long").alias("row"))
+    flat = records.select(*[F.try_element_at("x", F.lit(k)).alias(k) for k in keys], place.alias(PLACE))
     kinds = _kinds(spark, path, keys)
-    return Frame(flat.select(*[_typed(k, kinds[k]) for k in keys]) if keys else spark.createDataFrame([], T.StructType([])))
+    return Frame(flat.select(*[_typed(k, kinds[k]) for k in keys], PLACE), [PLACE]) if keys else Frame(spark.createDataFrame([], T.StructType([])))
 
 
 def _kinds(spark: SparkSession, path: str, keys: list[str]) -> dict[str, str]:
@@ -73,8 +75,8 @@ def read_json_text(spark: SparkSession, text: str) -> Frame:
 def to_json(frame: Frame, path: str | None = None) -> str | None:
     """Records with sorted keys, missing values as null, indented; text or a file at ``path``. Rows stream through the
     driver."""
-    shown = sorted(c for c in frame.columns if c not in ("__pos__", "__idx__", "__k"))
-    df = frame.df.orderBy(*frame.order) if frame.order and not frame._sorted() else frame.df
+    shown = sorted(c for c in frame.columns if c not in HIDDEN)
+    df = frame.df.orderBy(*ordering(frame.order)) if frame.order and not frame._sorted() else frame.df
     rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in shown]), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator() if shown else []
     text = _json.dumps([_plain(_json.loads(r["j"])) for r in rows], indent=2, sort_keys=True, ensure_ascii=False)
     if path is None:
