@@ -68,7 +68,7 @@ class Catalog:
 
     def _about(self, name: str) -> dict:
         e = self._entries[name]
-        return {"name": name, "rows": e.frame.df.count(), "columns": len(e.frame.columns), "bytes": e.frame.estimated_bytes(), "created": e.created}
+        return {"name": name, "rows": e.frame.df.count(), "columns": len(e.frame.data_columns), "bytes": e.frame.estimated_bytes(), "created": e.created}
 
     def list(self) -> list[dict]:
         with self._lock:
@@ -90,7 +90,8 @@ class Catalog:
 
     def info(self, name: str) -> dict:
         """Type, values that aren't missing and bytes of each column, in one pass."""
-        df = self.get(name).df
+        frame = self.get(name)
+        df = frame.df.select(*[f"`{c}`" for c in frame.data_columns])
         aggs = [a for k, (c, t) in enumerate(df.dtypes) for a in (F.count(f"`{c}`").alias(f"n{k}"), (F.sum(F.octet_length(f"`{c}`")) if t == "string" else F.count(f"`{c}`") * {"boolean": 1}.get(t, 8)).alias(f"b{k}"))]
         row = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
         return {"name": name, "rows": row["rows"], "columns": [{"name": c, "dtype": t, "non_null": row[f"n{k}"], "bytes": row[f"b{k}"] or 0} for k, (c, t) in enumerate(df.dtypes)]}

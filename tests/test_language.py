@@ -15,46 +15,46 @@ from tessera.service import Server, handle, request
 from tessera.sources import box, read_csv, read_csv_text, read_json, read_json_text
 from tessera.streaming import pipe_stream
 
-SALES = """region,quarter,revenue,cost,status
-US,Q1,35000,21000,active
-US,Q2,41000,28700,active
-EMEA,Q1,22000,15400,active
-EMEA,Q2,9000,8000,inactive
-APAC,Q1,15000,9000,active
-APAC,Q2,18000,10800,active
-NA,Q1,5000,4000,inactive
+MILLS = """mill,season,flour,bran,state
+Oak,spring,1240,310,open
+Ash,spring,560,140,open
+Oak,autumn,980,245,open
+NA,spring,90,60,shut
+Elm,autumn,700,350,open
+Elm,spring,130,26,shut
+Ash,autumn,640,160,open
 """
 
 
 @pytest.fixture(scope="module")
-def sales(spark):
-    return read_csv_text(spark, SALES)
+def mills(spark):
+    return read_csv_text(spark, MILLS)
 
 
 def rows(f, *names):
     return [tuple(r[n] for n in names) for r in f.df.collect()]
 
 
-def test_pipeline(sales):
-    f = run_text(sales, """filter(status == "active")  # only those
-        | derive(margin = (revenue - cost) / revenue) | groupby(region) | agg(sum:revenue, mean:margin, count:status)
-        | sort(revenue, desc) | round(margin, 2) | rename(revenue -> total) | head(2)""")
-    assert rows(f, "region", "total", "margin", "status") == [("US", 76000.0, 0.35, 2.0), ("APAC", 33000.0, 0.4, 2.0)]
+def test_pipeline(mills):
+    f = run_text(mills, """filter(state == "open")  # only those
+        | derive(margin = (flour - bran) / flour) | groupby(mill) | agg(sum:flour, mean:margin, count:state)
+        | sort(flour, desc) | round(margin, 2) | rename(flour -> total) | head(2)""")
+    assert rows(f, "mill", "total", "margin", "state") == [("Oak", 2220.0, 0.75, 2.0), ("Ash", 1200.0, 0.75, 2.0)]
 
 
-def test_each_verb(sales):
-    assert rows(run_text(sales, "sort(revenue asc, cost desc) | head(1)"), "revenue") == [(5000.0,)]
-    assert rows(run_text(sales, "tail(2)"), "quarter", "revenue") == [("Q2", 18000.0), ("Q1", 5000.0)]
-    assert run_text(sales, "drop(cost) | select(region, revenue)").columns == ["region", "revenue"]
-    assert rows(run_text(sales, "cast(revenue, Int) | head(1)"), "revenue") == [(35000,)]
-    assert rows(run_text(sales, "cast(revenue, String) | head(1)"), "revenue") == [("35000.0",)]
-    assert rows(run_text(sales, "cast(region, Int) | head(1)"), "region") == [(None,)]
-    assert rows(run_text(sales, 'filter(region contains "A") | select(region) | head(1)'), "region") == [("EMEA",)]
-    assert rows(run_text(sales, "filter(region == US) | derive(x = revenue / 0) | head(1)"), "x") == [(float("inf"),)]
-    assert rows(run_text(sales, "derive(x = revenue -1 - 2 * 3) | head(1)"), "x") == [(34993.0,)]
-    assert {r["status"]: r["revenue"] for r in run_text(sales, "groupby(status)").df.collect()} == {"active": 5.0, "inactive": 2.0}
-    assert rows(run_text(sales, "groupby(status) | agg(std:revenue, median:revenue) | sort(status)"), "median_revenue")[0] == (22000.0,)
-    assert run_text(sales, "filter(revenue > 1e9)").df.count() == 0 and run_text(sales, "").df.count() == 7
+def test_each_verb(mills):
+    assert rows(run_text(mills, "sort(flour asc, bran desc) | head(1)"), "flour") == [(90.0,)]
+    assert rows(run_text(mills, "tail(2)"), "season", "flour") == [("spring", 130.0), ("autumn", 640.0)]
+    assert run_text(mills, "drop(bran) | select(mill, flour)").columns == ["mill", "flour"]
+    assert rows(run_text(mills, "cast(flour, Int) | head(1)"), "flour") == [(1240,)]
+    assert rows(run_text(mills, "cast(flour, String) | head(1)"), "flour") == [("1240.0",)]
+    assert rows(run_text(mills, "cast(mill, Int) | head(1)"), "mill") == [(None,)]
+    assert rows(run_text(mills, 'filter(mill contains "s") | select(mill) | head(1)'), "mill") == [("Ash",)]
+    assert rows(run_text(mills, "filter(mill == Oak) | derive(x = flour / 0) | head(1)"), "x") == [(float("inf"),)]
+    assert rows(run_text(mills, "derive(x = flour -1 - 2 * 3) | head(1)"), "x") == [(1233.0,)]
+    assert {r["state"]: r["flour"] for r in run_text(mills, "groupby(state)").df.collect()} == {"open": 5.0, "shut": 2.0}
+    assert rows(run_text(mills, "groupby(state) | agg(std:flour, median:flour) | sort(state)"), "median_flour")[0] == (700.0,)
+    assert run_text(mills, "filter(flour > 1e9)").df.count() == 0 and run_text(mills, "").df.count() == 7
 
 
 def test_parsing():
@@ -75,17 +75,17 @@ def test_errors(chain, error):
         parse(chain)
 
 
-def test_unknown_columns_and_types(sales):
-    for chain in ("filter(zz > 1)", "sort(zz)", "select(zz)", "drop(zz)", "rename(zz -> a)", "round(zz, 1)", "cast(zz, Int)", "derive(a = zz + 1)", "groupby(zz)", "groupby(region) | agg(sum:zz)"):
+def test_unknown_columns_and_types(mills):
+    for chain in ("filter(zz > 1)", "sort(zz)", "select(zz)", "drop(zz)", "rename(zz -> a)", "round(zz, 1)", "cast(zz, Int)", "derive(a = zz + 1)", "groupby(zz)", "groupby(mill) | agg(sum:zz)"):
         with pytest.raises(ColumnNotFound):
-            run_text(sales, chain)
+            run_text(mills, chain)
     with pytest.raises(TypeMismatch):
-        run_text(sales, "derive(a = region + 1)")
+        run_text(mills, "derive(a = mill + 1)")
 
 
-def test_json_form(sales):
-    ops = [{"op": "filter", "args": {"column": "revenue", "operator": ">", "value": 10000.0}}, {"op": "groupby", "args": {"columns": ["region"]}}, {"op": "agg", "args": {"aggregations": [{"function": "sum", "column": "revenue"}]}}, {"op": "sort", "args": {"column": "revenue", "descending": True}}, {"op": "head", "args": {"n": 1}}]
-    assert rows(run_json(sales, json.dumps({"operations": ops})), "region", "revenue") == [("US", 76000.0)]
+def test_json_form(mills):
+    ops = [{"op": "filter", "args": {"column": "flour", "operator": ">", "value": 500.0}}, {"op": "groupby", "args": {"columns": ["mill"]}}, {"op": "agg", "args": {"aggregations": [{"function": "sum", "column": "flour"}]}}, {"op": "sort", "args": {"column": "flour", "descending": True}}, {"op": "head", "args": {"n": 1}}]
+    assert rows(run_json(mills, json.dumps({"operations": ops})), "mill", "flour") == [("Oak", 2220.0)]
     assert parse_json('{"operations": [{"op": "derive", "args": {"column": "a", "expression": "b + 1"}}]}')[0].args[0] == "a"
     for text, error in (("{", InvalidJSON), ("[]", InvalidJSON), ('{"operations": [{"op": "x"}]}', UnknownOperation), ('{"operations": [{"op": "head", "args": {}}]}', ParseError), ('{"operations": [{"op": "head", "args": {"n": 1.5}}]}', ParseError)):
         with pytest.raises(error):
@@ -133,15 +133,15 @@ def test_display(spark):
 
 
 def test_catalog_and_service(spark, tmp_path):
-    path = tmp_path / "sales.csv"
-    path.write_text(SALES)
+    path = tmp_path / "mills.csv"
+    path.write_text(MILLS)
     c = Catalog(spark)
     assert c.load("s", str(path))["rows"] == 7 and c.load("s", str(path))["overwritten"]
-    assert c.pipe("s", "t", "filter(revenue > 10000)")["rows"] == 5 and spark.sql("SELECT count(*) FROM t").first()[0] == 5
+    assert c.pipe("s", "t", "filter(flour > 500)")["rows"] == 5 and spark.sql("SELECT count(*) FROM t").first()[0] == 5
     info = {x["name"]: x for x in c.info("s")["columns"]}
-    assert info["region"]["non_null"] == 6 and info["revenue"]["dtype"] == "double" and c.show("t", 1)["csv"].count("\n") == 2
+    assert info["mill"]["non_null"] == 6 and info["flour"]["dtype"] == "double" and c.show("t", 1)["csv"].count("\n") == 2
     c.save("t", str(tmp_path / "out" / "t.csv"))
-    assert (tmp_path / "out" / "t.csv").read_text().startswith("region,")
+    assert (tmp_path / "out" / "t.csv").read_text().startswith("mill,")
     assert [x["name"] for x in c.list()] == ["s", "t"] and c.status()["frames"] == 2
     c.drop("t")
     with pytest.raises(FrameNotFound):
@@ -158,10 +158,10 @@ def test_catalog_and_service(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    path = tmp_path / "sales.csv"
-    path.write_text(SALES)
-    assert cli.main(["run", "-i", str(path), "-c", "sort(revenue desc) | select(region, revenue) | head(1)"]) == 0
-    assert capsys.readouterr().out == "region,revenue\nUS,41000\n"
+    path = tmp_path / "mills.csv"
+    path.write_text(MILLS)
+    assert cli.main(["run", "-i", str(path), "-c", "sort(flour desc) | select(mill, flour) | head(1)"]) == 0
+    assert capsys.readouterr().out == "mill,flour\nOak,1240\n"
     assert cli.main(["run", "-c", "head(1)", "--dry-run"]) == 0 and cli.main(["run", "--help-ops"]) == 0
     assert cli.main(["run", "-i", str(path), "-c", "heda(1)"]) == 4 and cli.main(["run", "-i", str(path), "-c", "select(zz)"]) == 5
     assert cli.main(["run", "-i", str(tmp_path / "none"), "-c", "head(1)"]) == 3 and cli.main(["run", "-i", str(path)]) == 2
