@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import TypeMismatch, need
@@ -37,19 +38,29 @@ def quantile(c: Column, q: float) -> Column:
 
 
 def quantiles_by_rank(df: DataFrame, column: str, qs: list[float], buckets: int | None = None) -> list[float | None]:
-    """Exact quantiles of one column without holding its values in one task: values are ranked inside ranges (see
-    ``ordered``), and each quantile is put together from its one or two neighbours. For columns of any size."""
+    """Exact quantiles of one column without holding its values in one task: ranges of values are counted first (see
+    ``ordered``); in the ranges that hold a wanted rank, equal values are counted and the counts added up."""
     from . import ordered
 
     need(df.columns, column)
     x = plain_double(F.col(f"`{column}`"))
     known = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    n = known.count()
+    placed = known.withColumn("b", ordered._bucket(known, "x", ordered.BUCKETS if buckets is None else buckets))
+    counts = sorted((r["b"], r["count"]) for r in placed.groupBy("b").count().collect())  # one more than ranges at most
+    n = sum(c for _, c in counts)
     if not n:
         return [None] * len(qs)
     places = sorted({k for q in qs for k in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))})
-    ranked = ordered.with_position(known, ["x"], "r", **({} if buckets is None else {"buckets": buckets}))
-    at = {r["r"]: r["x"] for r in ranked.filter(F.col("r").isin(places)).collect()}
+    first, wanted = 0, {}
+    for b, c in counts:
+        if inside := [k for k in places if first <= k < first + c]:
+            wanted[b] = (first, inside)
+        first += c
+    upto = F.sum("c").over(Window.partitionBy("b").orderBy("x"))
+    each = placed.filter(F.col("b").isin(list(wanted))).groupBy("b", "x").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", upto)
+    holds = reduce(lambda a, c: a | c, [(F.col("b") == b) & (F.col("upto") > k - at) & (F.col("upto") - F.col("c") <= k - at) for b, (at, ks) in wanted.items() for k in ks])
+    found = each.filter(holds).select("b", "x", "c", "upto").collect()  # a row for each wanted rank at most
+    at = {k: r["x"] for r in found for k in wanted[r["b"]][1] if r["upto"] - r["c"] <= k - wanted[r["b"]][0] < r["upto"]}
     out = []
     for q in qs:
         place = q * (n - 1)
