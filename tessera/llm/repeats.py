@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, kept, map_batches, parts, ship
+from .common import documents, forget, kept, map_batches, parts, release, ship
 
 LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM + 1
@@ -26,6 +26,8 @@ SYMBOL = 8
 DEPTH = LENGTH // SYMBOL
 #: Contexts of one anchor that one task compares. Anchors with more are compared through all their strings' hashes instead.
 TOGETHER = 2_000
+#: An anchor with more than one in so many runs is heavy.
+MOST_HEAVY = 20_000
 #: Positions that one merge takes, fewer than there are 16-bit symbols.
 MERGED = 60_000
 SHARDS = 4
@@ -307,9 +309,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     runs = kept(_runs(d), "runs")
-    # counted before rows move, then joined: an anchor that most runs have is split like any skewed join
-    twice = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), (F.min("context") != F.max("context")).alias("mixed")).filter("times > 1")
-    shared = kept(runs.join(twice.select("anchor", "mixed"), "anchor").select("anchor", "context", "rid", "start", "n", "mixed"), "shared")
+    # counted before rows move; anchors with one in MOST_HEAVY runs, at most so many, are told to all tasks, so their rows stay
+    twice = kept(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), (F.min("context") != F.max("context")).alias("mixed")).filter("times > 1"), "anchors")
+    is_heavy = F.col("times") * MOST_HEAVY > runs.count()
+    told = runs.join(F.broadcast(twice.filter(is_heavy).select("anchor", "mixed")), "anchor", "left")
+    columns = ("anchor", "context", "rid", "start", "n", "mixed")
+    light = told.filter("mixed IS NULL").drop("mixed").join(twice.filter(~is_heavy).select("anchor", "mixed"), "anchor")
+    shared = kept(told.filter("mixed IS NOT NULL").select(*columns).unionByName(light.select(*columns)), "shared")
+    forget(runs, twice)
+    release(d.sparkSession)
     of = shared.filter("mixed").groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rid", "start", "n")).alias("at"))
     group = of.groupBy("anchor").agg(F.count(F.lit(1)).alias("together"))
     of = of.join(group, "anchor").select("anchor", "context", "times", "together", "at.rid", "at.start", "at.n")
