@@ -130,7 +130,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     keys; files and rows by ascending doc_id, null first) and manifest (block of ids, leaves, root).
 
     start counts the ids of all documents before. The leaf of a document is the SHA-256 of its doc_id, n_tokens and keys;
-    the root of a block that of its leaves in order. Null text is empty, so it has the end id only.
+    the root of a block that of its leaves in order, and the root of the store, a table of its own, that of the blocks' roots.
+    Null text is empty, so it has the end id only.
     """
     spark = docs.sparkSession
     # equal keys meet; recipes are spread by their own digest with the doc_id, or copies of a text would meet in one task
@@ -140,6 +141,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     started = running_start(recipes, "n_tokens", "start", "keys")
     started.select("doc_id", "start", "n_tokens", "keys").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "start").write.parquet(f"{path}/recipes")
     manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    root_of(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/root")
 
 
 def _stored(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -160,7 +162,9 @@ def root_of(manifests: DataFrame) -> DataFrame:
 
 
 def verify(spark: SparkSession, path: str) -> None:
-    """Raises if a recipe differs from the manifest."""
+    """Raises if a recipe differs from the manifest, or the manifest from the root of the whole store."""
+    if spark.read.parquet(f"{path}/root").first()["root"] != root_of(spark.read.parquet(f"{path}/manifest")).first()["root"]:
+        raise ValueError(f"the manifest in {path} doesn't match its root")
     old, new = spark.read.parquet(f"{path}/manifest"), manifest(spark.read.parquet(f"{path}/recipes"))
     wrong = old.alias("a").join(new.alias("b"), F.col("a.block").eqNullSafe(F.col("b.block")), "full").filter(~F.col("a.root").eqNullSafe(F.col("b.root")) | ~F.col("a.leaves").eqNullSafe(F.col("b.leaves")))
     if wrong.limit(1).count():
