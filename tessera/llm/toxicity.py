@@ -26,6 +26,8 @@ from .common import documents, held, held_out, map_batches, parts
 
 #: Labelled rows of either class that the model is fitted on at most (those of lowest hash).
 TOXIC_ROWS, CLEAN_ROWS = 1_500, 3_500
+#: Characters of one of them that reach the driver at most.
+ROW_CHARS = 100_000
 DECAY, SPAN, CODES = 0.6, 6, 64
 LANDMARKS, ROUNDS, PER_ROUND = 160, 3, 3_000
 COST = 20.0
@@ -300,12 +302,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> list[tuple[str, int]]:
-    """At most so many labelled texts of either class, those of lowest hash of the doc_id. A document labelled more than
-    once is toxic if any label says so; null labels and null texts are left out."""
+    """At most so many labelled texts of either class, those of lowest hash of the doc_id, and ROW_CHARS characters of each. A
+    document labelled more than once is toxic if any label says so; of rows with the same doc_id the least text is taken; null
+    labels, ids and texts are left out."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, toxic_rows), (0, clean_rows))]
     picked = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most toxic_rows + clean_rows rows
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(picked, "doc_id").select("text", "toxic").collect()
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.substring("text", 1, ROW_CHARS)).alias("text")).collect()
     return sorted((r["text"], int(r["toxic"])) for r in rows)
 
 
