@@ -17,20 +17,22 @@ ANCHORS = (
 #: Content words of a chain, and words after the anchor among which they are looked for.
 CHAIN, REACH = 2, 10
 _MARK = "\\u0001"
+#: White space of any kind, inside a character class.
+_BLANK = r"\s\p{Z}\x85"
 
 
 def signatures(text: str) -> Column:
     """The sorted distinct signatures of a text column, 32 bits each.
 
-    Words are lower-case runs of letters and digits between white space, signs dropped. After each anchor the next CHAIN
-    words that are no anchors, among REACH words, are a signature with it; fewer at a text's end make a shorter chain. A text
-    with no signature has one for all its words (or, without words, for its characters), so equal texts have equal sets and
+    Words are lower-case runs of letters and digits between white space (no-break spaces as well), signs dropped. After each
+    anchor the next CHAIN words that are no anchors, among REACH words, are a signature with it; fewer at a text's end make a
+    shorter chain. A text with no signature has one for all its words (or, without words, for its characters), so equal texts have equal sets and
     no set is empty.
     """
     anchors = "|".join(sorted(set(ANCHORS.split()), key=lambda w: (-len(w), w)))
-    plain = f"regexp_replace(lower({text}), r'[^\\p{{L}}\\p{{N}}\\s]+', '')"
-    marked = f"regexp_replace({plain}, r'(?<!\\S)({anchors})(?!\\S)', '{_MARK}$1')"
-    words = f"filter(split({marked}, r'\\s+'), w -> w != '')"
+    plain = f"regexp_replace(lower({text}), r'[^\\p{{L}}\\p{{N}}{_BLANK}]+', '')"
+    marked = f"regexp_replace({plain}, r'(?<![^{_BLANK}])({anchors})(?![^{_BLANK}])', '{_MARK}$1')"
+    words = f"filter(split({marked}, r'[{_BLANK}]+'), w -> w != '')"
     chain = f"slice(filter(slice(w, i + 1, {REACH}), x -> x >= '\\u0002'), 1, {CHAIN})"
     spots = f"filter(transform(filter(sequence(1, greatest(size(w), 1)), i -> size(w) > 0 AND w[i - 1] < '\\u0002'), i -> hash(w[i - 1], {chain})), x -> x IS NOT NULL)"
     whole = f"array(CASE WHEN size(w) > 0 THEN hash('words', array_join(w, ' ')) ELSE hash('text', {text}) END)"
