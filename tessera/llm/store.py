@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK, documents, map_batches, new_path, parts, running_start, texts, with_block
+from .common import PIECE, BLOCK, documents, map_batches, new_path, parts, running_start, texts, with_block
 from .tokens import default_path, encoder
 
 #: Ids that a rolling hash sees, its zero bits at a cut (512 ids on average), and the longest chunk.
@@ -65,7 +65,7 @@ def _encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         def one(batch: pa.RecordBatch):
             doc_ids, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in parts(text):
+            for part in parts(text, 4_000_000):
                 plain, at = enc.encode(text[part])
                 n_docs = len(at) - 1
                 ids = np.insert(plain, at[1:], np.uint32(end_id))
@@ -103,7 +103,7 @@ def _encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         return one
 
-    return map_batches(texts(docs), make, _ROWS)
+    return map_batches(texts(docs), make, _ROWS, 4 * PIECE)
 
 
 def _once(rows: DataFrame) -> DataFrame:
