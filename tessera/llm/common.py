@@ -126,10 +126,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     what it makes of them stays small; at its end a task gives its worker's free memory back to the system."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _USED.clear()
         f = make()
-        if not _USED:
-            _drop()
         for batch in batches:
             step = max(1, batch.num_rows * piece // max(batch.nbytes, 1))
             for at in range(0, batch.num_rows, step):
@@ -145,13 +142,11 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
 
 _HELD: dict[str, dict] = {}
-_USED: set[str] = set()
 
 
 def held(what: str, key, make: Callable[[], object]) -> object:
     """What a Python worker keeps between tasks: ``make``'s object for ``key``. Only one operator's objects are kept, so a worker
     that goes on to another step does not hold the models of the one before."""
-    _USED.add(what)
     if what not in _HELD:
         _drop()
     mine = _HELD.setdefault(what, {})

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, forget, kept, map_batches, parts, release
+from .common import documents, forget, held, kept, map_batches, parts, release
 
 #: Bits of a shingle's hash. Two sets of a thousand shingles meet by chance in one with a probability of 4e-9.
 BITS = 48
@@ -119,6 +119,8 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, *carry: str) -> DataFr
     have, where that are at least OFTEN and one in a hundred."""
 
     def make():
+        held("jaccard", None, lambda: None)  # workers let go of what other operators keep
+
         def one(batch: pa.RecordBatch):
             for part, tokens, n, at in _sets_of(batch, 1, k):
                 _, _, counted = _posted(tokens, n, at, num, den)
