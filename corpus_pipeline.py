@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, forget, kept, settled
+from tessera.llm.common import documents, forget, kept, make_room, settled
 from tessera.llm.dedup import deduplicated
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.langid import UNKNOWN, predict, train
@@ -69,6 +69,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset."""
+    make_room(spark)
     return pack(kept(encode_pieces(docs, default_path()), "pieces"))
 
 

@@ -100,6 +100,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def make_room(spark: SparkSession) -> None:
+    """Lets executors collect their garbage and give free heap back to the system, before a step whose Python workers need that
+    memory: a heap stays as large as the steps before made it. As many tasks as there are cores reach every idle executor."""
+    cores = spark.sparkContext.defaultParallelism
+    collected = spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')").alias("done"))
+    collected.write.format("noop").mode("overwrite").save()
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the named columns only."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)

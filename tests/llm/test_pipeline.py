@@ -68,3 +68,13 @@ def test_repeated_and_null_ids(spark):
     near = corpus_pipeline.near_copies(spark, exact, DIR)
     want.remove((9, LONG + " more"))
     assert collections.Counter((r["doc_id"], r["text"]) for r in near.collect()) == collections.Counter(want)
+
+
+def test_executors_give_heap_back_before_packing(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    # with a local master the executor is this JVM; the last bean is the one of full collections
+    full = lambda: list(beans())[-1].getCollectionCount()
+    d = spark.createDataFrame([(1, "some text", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    before = full()
+    assert [(r["doc_id"], r["offset"]) for r in corpus_pipeline.packing(spark, d, DIR).collect()] == [(1, 0)]
+    assert full() > before
