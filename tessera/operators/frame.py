@@ -24,10 +24,12 @@ _KINDS = ((bool, T.BooleanType()), (int, T.LongType()), (float, T.DoubleType()),
 
 class Frame:
     """df: the data, lazy. order: the columns that put rows in order, for what depends on it (head without a sort, tail,
-    positions, running sums, keeping first rows). index: a column with row labels."""
+    positions, running sums, keeping first rows). index: a column with row labels. rows: the data without the sort that df
+    may end with, for what puts rows in order itself."""
 
     def __init__(self, df: DataFrame, order: Sequence[str] = (), index: str | None = None):
         self.df, self.index = df, index
+        self.rows = df
         self.order = tuple(order) if set(order) <= set(df.columns) else ()
 
     def _with(self, df: DataFrame, order: Sequence[str] | None = None) -> Frame:
@@ -153,7 +155,7 @@ class Frame:
     def with_position(self) -> Frame:
         if ordered.POSITION in self.columns:
             return self
-        return self._with(ordered.with_position(self.df, self._need_order()))
+        return self._with(ordered.with_position(self.rows, self._need_order()))
 
     def iloc(self, at: int | slice | Sequence[int]) -> Any:
         """A row by position (a dict), a range of rows, or rows at the given positions in that order (beyond the end: rows
@@ -213,7 +215,9 @@ class Frame:
             raise LengthMismatch("as many directions as columns are needed")
         keys = [c if up else ordered.Desc(c) for c, up in zip(by, flags, strict=True)]
         keys += [c for c in self.order if c not in keys]
-        return self._with(self.df.orderBy(*ordered.ordering(keys)), keys)
+        out = self._with(self.df.orderBy(*ordered.ordering(keys)), keys)
+        out.rows = self.rows
+        return out
 
     def top_k(self, k: int, *by: str, ascending: bool = False) -> Frame:
         return self.sort(*by, ascending=ascending).head(k)

@@ -1,8 +1,9 @@
 """Operations that need a row order. The order is always named; it never is the order of a scan.
 
-Positions and running sums are found per range of the first order key: the ranges' bounds come from approximate quantiles
-(at most BUCKETS literals in the plan), rows are ranked inside their range, and the ranges' totals, a few rows, are added.
-So no task sorts all rows. Text keys have no quantiles; their first rank uses one task.
+Positions and running sums are found per range of the order keys together, so that ties of the first key, missing values too,
+are told apart by the next: the ranges' bounds (fewer than BUCKETS, literals in the plan) are drawn from random rows, every row
+is ranked inside its range, and the ranges' totals, a few rows, are added. So no task sorts all rows, and the bounds decide
+only which task ranks a row. Rows that tie in all keys are dealt by a hash of their other columns.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ PLACE = "__at__"
 #: Columns that say where a row stands or what it is called; no part of the data.
 HIDDEN = (POSITION, PLACE, "__idx__", "__k")
 BUCKETS = 64
+#: Rows drawn for each bound.
+DRAWN = 64
+#: Types whose values can stand in a plan.
+LITERAL = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType, T.BooleanType)
 
 
 class Desc(str):
@@ -45,24 +50,69 @@ def _placed(df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
     return (with_position(df, order, "__place"), ["__place"]) if any(isinstance(k, Desc) for k in order) else (df, order)
 
 
-def _bucket(df: DataFrame, key: str, buckets: int) -> Column:
-    """The number of a row's range of the key; ranges are in order, nulls come last. Rows of files: the block."""
-    kind = df.schema[key].dataType
-    if key == PLACE:
+def _parts(df: DataFrame, order: list[str]) -> list[tuple[str, str, bool]]:
+    """What the order keys compare by, as far as it can stand in a plan: SQL text, type, whether the largest comes first. A
+    row's place has its fields."""
+    out = []
+    for k in order:
+        kind = df.schema[k].dataType
+        fields = [(f"{name(k)}.{name(f.name)}", f.dataType) for f in kind.fields] if k == PLACE else [(name(k), kind)]
+        for c, t in fields:
+            if not isinstance(t, LITERAL):
+                return out
+            out.append((c, t.simpleString(), isinstance(k, Desc)))
+    return out
+
+
+def _is_after(row: list[tuple[str, str, bool]], bound: list[str | None]) -> str:
+    """The row comes after a bound (values as text) in order, missing values last."""
+    out = ""
+    for (c, kind, down), v in reversed(list(zip(row, bound, strict=True))):
+        at = "NULL" if v is None else f"CAST(CAST(X'{v.encode().hex()}' AS STRING) AS {kind})"
+        tied = f"{c} <=> {at} AND ({out})" if out else ""
+        beyond = "" if v is None else f"{c} IS NULL OR {c} {'<' if down else '>'} {at}"
+        out = " OR ".join(x for x in (beyond, tied) if x) or "false"
+    return out
+
+
+def _bucket(df: DataFrame, order: list[str], buckets: int) -> Column:
+    """The number of a row's range of the keys; ranges are in order. Rows of files: the block."""
+    if order[0] == PLACE:
         return F.struct(F.col(PLACE)["file"], F.col(PLACE)["start"])
-    if buckets < 2 or not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)) or isinstance(kind, T.DecimalType):
+    parts = _parts(df, order)
+    if buckets < 2 or not parts:
         return F.lit(0)
-    steps = [k / buckets for k in range(1, buckets)]
-    c = F.col(name(key))
-    found = df.agg(F.percentile_approx(c, steps, 1000)).first()[0] or []
-    bounds = sorted(set(x for x in found if x == x))
-    above = sum((F.when(c > F.lit(b).cast(kind), 1).otherwise(0) for b in bounds), F.lit(0))
-    return F.when(c.isNull(), len(bounds) + 1).otherwise(len(bounds) - above if isinstance(key, Desc) else above)
+    others = [name(f.name) for f in df.schema if f.name not in order and isinstance(f.dataType, LITERAL)]
+    if len(parts) >= len(order) and others:
+        parts.append((f"xxhash64({', '.join(others)})", "bigint", False))
+    keys = [F.expr(c).alias(f"_{k}") for k, (c, _, _) in enumerate(parts)]
+    by = ordering([Desc(f"_{k}") if down else f"_{k}" for k, (_, _, down) in enumerate(parts)])
+    share = min(1.0, DRAWN * buckets / max(1, df.count()))
+    # long text is cut: whatever bounds ranges, they are in order
+    drawn = df.select(*keys, F.rand(7).alias("__r")).filter(F.col("__r") < share).orderBy(*by)
+    rows = [list(r) for r in drawn.select(*[F.substring(F.col(f"_{k}").cast("string"), 1, 100) for k in range(len(parts))]).collect()]
+    bounds = [rows[k * len(rows) // buckets] for k in range(1, buckets)] if rows else []
+    bounds = [b for k, b in enumerate(bounds) if not k or b != bounds[k - 1]]
+
+    def shortest(k: int) -> list[str | None]:
+        """The first keys of a bound that tell it from its neighbours."""
+        near = bounds[max(0, k - 1):k] + bounds[k + 1:k + 2]
+        return bounds[k][:next((n for n in range(1, len(parts)) if all(b[:n] != bounds[k][:n] for b in near)), len(parts))]
+
+    def below(first: int, last: int) -> str:
+        """first + the number of bounds[first:last] that a row comes after, by halves."""
+        if first == last:
+            return str(first)
+        k = (first + last) // 2
+        bound = shortest(k)
+        return f"CASE WHEN {_is_after(parts[:len(bound)], bound)} THEN {below(k + 1, last)} ELSE {below(first, k)} END"
+
+    return F.expr(below(0, len(bounds)))
 
 
 def _accumulated(df: DataFrame, order: list[str], inside: Column, total: Column, out: str, buckets: int) -> DataFrame:
     need(df.columns, *order)
-    d = df.withColumn("__bucket", _bucket(df, order[0], buckets))
+    d = df.withColumn("__bucket", _bucket(df, order, buckets))
     sums = d.groupBy("__bucket").agg(total.alias("__total"))
     before = F.coalesce(F.sum("__total").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select("__bucket", before.alias("__before"))

@@ -45,7 +45,7 @@ def quantiles_by_rank(df: DataFrame, column: str, qs: list[float], buckets: int
     need(df.columns, column)
     x = plain_double(F.col(f"`{column}`"))
     known = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    placed = known.withColumn("b", ordered._bucket(known, "x", ordered.BUCKETS if buckets is None else buckets))
+    placed = known.withColumn("b", ordered._bucket(known, ["x"], ordered.BUCKETS if buckets is None else buckets))
     counts = sorted((r["b"], r["count"]) for r in placed.groupBy("b").count().collect())  # one more than ranges at most
     n = sum(c for _, c in counts)
     if not n:

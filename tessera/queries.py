@@ -237,12 +237,9 @@ def apply_columns(spark, d):
 
 # order
 
-from pyspark.sql import Window  # noqa: E402
-
-
 def _ranked(f: Frame) -> DataFrame:
-    """A sorted frame with the rank of each row as its plan puts it: rows are few."""
-    return f.df.withColumn("rn", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("bigint"))
+    """A sorted frame with the rank of each row, from 1."""
+    return f.with_position().df.withColumn("rn", F.col("__pos__") + 1).drop("__pos__")
 
 
 @query("SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rn FROM supplier")

@@ -1,10 +1,14 @@
 """Row order of files, after sorts, and of columns with odd names."""
 
 import pytest
+from pyspark.sql import functions as F
 
+import tessera.object_queries  # noqa: F401  adds its queries
 from tessera.dsl import run_text
 from tessera.errors import TypeMismatch
 from tessera.operators.frame import Frame
+from tessera.operators.ordered import Desc, with_position
+from tessera.queries import QUERIES
 from tessera.sources import read_csv, read_json
 from tessera.sources.csv import CSVReader, to_csv
 
@@ -83,3 +87,44 @@ def test_names_with_points(spark):
     assert g.drop_duplicates(["a.b", "c d"]).df.count() == 3 and f.sort("a.b", ascending=False).iloc(0)["c d"] == "x"
     assert sum(r["d"] for r in f.duplicated(["a.b"], out="d").df.collect()) == 1
     assert [r["a.b"] for r in f.cumsum("a.b").df.orderBy("__pos__").collect()] == [3.0, 4.0, 5.0, None]
+
+
+def largest_share(spark, df):
+    """The share of the rows that the largest of 64 partitions has, with none put together."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.max(F.hash(*df.columns))).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    return max(sizes) / sum(sizes)
+
+
+def test_no_task_ranks_all_rows(spark):
+    for q in ("sort_nulls_last", "positions_text"):
+        assert largest_share(spark, QUERIES[q](spark, "/root/testdata/sf0.01")) < 0.2
+    d = spark.range(8000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN id % 3 END AS few", "concat('t', id % 5) AS text", "CAST(id % 900 AS DECIMAL(9, 2)) AS exact", "1 AS same")
+    for keys in (["few", "id"], [Desc("few"), "id"], ["text", "id"], ["exact"], ["same"], ["few", Desc("text"), "exact"]):
+        assert largest_share(spark, with_position(d, keys)) < 0.2, keys
+
+
+def test_positions_of_odd_values(spark):
+    numbers = [3.0, None, float("nan"), -0.0, 0.0, float("inf"), -float("inf"), 1e300, None, 2.5]
+    words = ["", None, "a'b", "a\\b", "ä", "z" * 150 + "1", "z" * 150 + "0", "\U0001f600", "￮", "a"]
+    rows = [(k, numbers[k % 10], words[k // 10 % 10], k % 3 == 0) for k in range(600)]
+    d = spark.createDataFrame(rows, "k long, x double, w string, b boolean").repartition(6)
+    keyed = {"x": lambda r: (r[1] is None, r[1] != r[1] if r[1] is not None else 0, r[1] if r[1] == r[1] and r[1] is not None else 0), "w": lambda r: (r[2] is None, (r[2] or "").encode()), "b": lambda r: r[3]}
+    for first, second in (("x", "w"), ("w", "b"), ("b", "x")):
+        want = sorted(rows, key=lambda r: (keyed[first](r), keyed[second](r), r[0]))
+        assert [r["k"] for r in with_position(d, [first, second, "k"]).orderBy("__pos__").collect()] == [r[0] for r in want]
+    want = sorted(sorted(rows, key=lambda r: r[0], reverse=True), key=lambda r: (r[1] is not None and r[1] == r[1], -r[1] if r[1] is not None and r[1] == r[1] else 0))
+    want = [r for r in want if r[1] is not None] + [r for r in want if r[1] is None]
+    assert [r["k"] for r in with_position(d, [Desc("x"), Desc("k")]).orderBy("__pos__").collect()] == [r[0] for r in want]
+
+
+def test_ties_keep_the_order_of_the_file(spark, path):
+    f = read_csv(spark, path).sort("part")
+    want = [r["note"] for r in f.with_position().df.orderBy("__pos__").collect()]
+    assert want == [f"note {k}" for k in sorted(range(60), key=lambda k: (k % 7, k))] and f.iloc(9)["note"] == want[9]
