@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import KeyColumnNotFound, UnknownOperation, need
@@ -19,9 +19,8 @@ FUNCTIONS = ("sum", "mean", "count", "min", "max", "std", "median")
 
 
 def aggregate(name: str, c: Column) -> Column:
-    """One aggregate of a group as a double: an empty sum is 0; mean, min, max, std and median of nothing are NaN."""
-    if name not in FUNCTIONS:
-        raise UnknownOperation(f"no aggregate named {name!r}; there are: {', '.join(FUNCTIONS)}")
+    """One aggregate of a group as a double: an empty sum is 0; mean, min, max and std of nothing are NaN. Medians are no
+    aggregates of Spark's here: see GroupBy._aggregated."""
     x = stats.REDUCTIONS[name](c)
     return zero_if_null(x) if name in ("sum", "count") else nan_if_null(x)
 
@@ -34,9 +33,29 @@ class GroupBy:
     def _grouped(self):
         return self.frame.df.dropna(subset=list(self.keys)).groupBy(*[f"`{k}`" for k in self.keys])
 
+    def _aggregated(self, wanted: list[tuple[str, str, str]]) -> DataFrame:
+        """keys and (function, column, name of the result) in one aggregation, the medians by rank beside it: the memory of
+        none grows with a group."""
+        for name, _, _ in wanted:
+            if name not in FUNCTIONS:
+                raise UnknownOperation(f"no aggregate named {name!r}; there are: {', '.join(FUNCTIONS)}")
+        medians = [(F.col(f"`{c}`"), alias) for name, c, alias in wanted if name == "median"]
+        others = [aggregate(name, F.col(f"`{c}`")).alias(f"__r{k}") for k, (name, c, _) in enumerate(wanted) if name != "median"]
+        keys = [f"__g{k}" for k in range(len(self.keys))]
+        named = [F.col(g).alias(k) for g, k in zip(keys, self.keys, strict=True)]
+        if not medians:
+            return self._grouped().agg(*others).toDF(*self.keys, *[alias for _, _, alias in wanted])
+        rows = self.frame.df.dropna(subset=list(self.keys))
+        places = [k for k, (name, _, _) in enumerate(wanted) if name == "median"]
+        found = stats.quantiles(rows, {f"__r{k}": (c, [0.5]) for k, (c, _) in zip(places, medians, strict=True)}, self.keys).toDF(*keys, *[f"__r{k}" for k in places])
+        if others:
+            found = self._grouped().agg(*others).withColumnsRenamed(dict(zip(self.keys, keys, strict=True))).join(found, on=keys)
+        results = [(nan_if_null(F.col(f"__r{k}")[0]) if name == "median" else F.col(f"__r{k}")).alias(alias) for k, (name, _, alias) in enumerate(wanted)]
+        return found.select(*named, *results)
+
     def _all(self, name: str) -> Frame:
         values = numeric_columns(self.frame.df, *self.keys)
-        df = self.frame.df.select(*self.keys).dropna().distinct() if not values else self._grouped().agg(*[aggregate(name, F.col(f"`{c}`")).alias(c) for c in values])
+        df = self.frame.df.select(*self.keys).dropna().distinct() if not values else self._aggregated([(name, c, c) for c in values])
         return type(self.frame)(df, order=self.keys)
 
     def sum(self) -> Frame:
@@ -69,9 +88,8 @@ class GroupBy:
             need(self.frame.columns, column)
             alias = column if column not in used else f"{name}_{column}"
             used.add(alias)
-            c = F.col(f"`{column}`")
-            out.append((F.count(c).cast("double") if name == "count" else aggregate(name, c)).alias(alias))
-        return type(self.frame)(self._grouped().agg(*out), order=self.keys)
+            out.append((name, column, alias))
+        return type(self.frame)(self._aggregated(out), order=self.keys)
 
     def groups(self) -> Frame:
         """keys and ``positions``, the row positions of each group. One array per group: for groups that fit a row."""

@@ -356,7 +356,9 @@ def quantile(spark, d):
     from .operators import stats
 
     p = F.col("price")
-    return rounded(nulled(spark, d).df.agg(stats.quantile(p, 0.1).alias("a"), stats.quantile(p, 0.9).alias("b"), stats.std(p, 0).alias("c")))
+    o = nulled(spark, d).df
+    both = stats.quantiles(o, {"q": (p, [0.1, 0.9])}).crossJoin(o.agg(stats.std(p, 0).alias("c")))
+    return rounded(both.select(F.col("q")[0].alias("a"), F.col("q")[1].alias("b"), "c"))
 
 
 @query(f"SELECT priority AS value, count(*) AS count FROM {NULLED} WHERE priority IS NOT NULL GROUP BY priority")

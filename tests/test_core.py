@@ -1,6 +1,7 @@
 """Hand-computed results of every operator, and of each place where the documented meaning is subtle."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from tessera.errors import ColumnNotFound, IndexOutOfRange, KeyColumnNotFound, L
 from tessera.operators import Index, ordered, stats
 from tessera.operators.frame import Frame, concat
 from tessera.plans.predicate import col
+from tessera.queries import QUERIES
 
 NAN = float("nan")
 
@@ -210,3 +212,55 @@ def test_quantiles_by_rank(spark):
     for buckets in (1, 16):
         assert stats.quantiles_by_rank(d, "x", [0.0, 0.25, 0.5, 0.999, 1.0], buckets) == pytest.approx([0.0, 249.0, 498.0, 995.004, 996.0])
     assert stats.quantiles_by_rank(d.filter("x < 0"), "x", [0.5]) == [None]
+
+
+def _between(values, q):
+    """The quantile by sorting, NaN as the largest number."""
+    s = sorted((v for v in values if v is not None), key=lambda v: (v != v, v if v == v else 0))
+    if not s:
+        return None
+    place = (len(s) - 1) * q
+    a, b = s[math.floor(place)], s[math.ceil(place)]
+    return a if a == b or a != a else (math.ceil(place) - place) * a + (place - math.floor(place)) * b
+
+
+def test_quantiles_in_brackets(spark, monkeypatch):
+    monkeypatch.setattr(stats, "MANY", 60)
+    monkeypatch.setattr(stats, "ACCURACY", 100)
+    nan, inf = float("nan"), float("inf")
+    columns = {
+        "even": lambda k: float(k * 7919 % 4001), "tied": lambda k: float(k % 3), "skewed": lambda k: 1.0 if k % 10 else 2.0 ** (k % 200), "few": lambda k: float(k) if k % 900 == 0 else None,
+        "none": lambda k: None, "odd": lambda k: (nan, inf, -inf, -0.0, 0.0, None, float(k))[k % 7], "nans": lambda k: nan if k % 10 < 6 else float(k),
+    }
+    rows = [tuple(f(k) for f in columns.values()) + (k % 50 if k % 4 == 0 else -1, None if k % 97 == 0 else "g") for k in range(4000)]
+    d = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns) + ", part int, text string").repartition(9)
+    qs = [0.5, 0.0, 0.1, 0.75, 0.999, 1.0]
+    wanted = {f"q_{c}": (F.col(c), qs) for c in columns}
+
+    def same(got, values):
+        want = [_between(values, q) for q in qs]
+        assert [str(x) if x is not None and x != x else x for x in got] == [str(x) if x is not None and x != x else pytest.approx(x) if x is not None and abs(x) < inf else x for x in want]
+
+    whole = stats.quantiles(d, wanted).collect()
+    assert len(whole) == 1
+    groups = {r["part"]: r for r in stats.quantiles(d, wanted, ["part"]).collect()}
+    assert len(groups) == 26
+    for i, c in enumerate(columns):
+        same(whole[0][f"q_{c}"], [r[i] for r in rows])
+        for g, row in groups.items():
+            same(row[f"q_{c}"], [r[i] for r in rows if r[-2] == g])
+    f = Frame(d)
+    told = {r["column"]: r["value"] for r in f.median().df.collect()}
+    assert told["even"] == pytest.approx(_between([r[0] for r in rows], 0.5)) and math.isnan(told["none"])
+    by = f.group_by("part").agg(("median", "even"), ("count", "few"), ("median", "none"), ("max", "even")).df
+    assert by.columns == ["part", "even", "few", "none", "max_even"]
+    for r in by.collect():
+        own = [x for x in rows if x[-2] == r["part"]]
+        assert r["even"] == pytest.approx(_between([x[0] for x in own], 0.5)) and r["few"] == sum(x[3] is not None for x in own) and math.isnan(r["none"]) and r["max_even"] == max(x[0] for x in own)
+    assert f.filter(F.col("part") > 99).median().df.filter("NOT isnan(value)").count() == 0 and f.group_by("part", "text").median().df.count() == 26
+
+
+def test_no_task_holds_all_values(spark):
+    for q in ("frame_median", "describe", "series_describe", "quantile", "groupby_median", "agg_list"):
+        plan = stats.describe(Frame(spark.range(9)).df) if q == "series_describe" else QUERIES[q](spark, "/root/testdata/sf0.001")
+        assert not re.search(r"(?<![_a-z])percentile\(", plan._jdf.queryExecution().optimizedPlan().toString()), q
